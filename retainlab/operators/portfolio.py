@@ -120,7 +120,7 @@ def top_factors(
     top = ranked.select(ID, F.posexplode(F.slice("a", 1, n)).alias("pos", "s"))
     return top.select(
         ID,
-        (F.col("pos") + 1).alias("rank"),
+        (F.col("pos") + 1).cast("bigint").alias("rank"),
         F.col("s.feature").alias("feature"),
         F.round("s.value", 6).alias("contribution"),
         F.when(F.col("s.value") > 0, "increases churn").otherwise("decreases churn").alias("direction"),

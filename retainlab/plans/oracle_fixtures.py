@@ -167,8 +167,25 @@ vectors AS (
 """
 
 
+def _bigint_counts(sql: str) -> str:
+    """DuckDB types count_if as HUGEINT; the FILTER form is BIGINT like Spark."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:j])
+        depth, k = 1, j + len(key)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(f"count(*) FILTER (WHERE {_bigint_counts(sql[j + len(key):k - 1])})")
+        i = k
+
+
 def with_fixtures(body: str) -> str:
     """Prefix the fixture CTEs; a body starting with ',' adds its own CTEs."""
     body = body.strip()
     sep = "" if body.startswith(",") else "\n"
-    return f"WITH {FIXTURE_CTES.strip()}{sep}{body}"
+    return _bigint_counts(f"WITH {FIXTURE_CTES.strip()}{sep}{body}")

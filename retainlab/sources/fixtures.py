@@ -155,10 +155,15 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_keyed(spark, sf_dir).select(ID_COL, *FEATURE_COLUMNS, TARGET_COL)
 
 
+def split_hash(key: Column, seed: int = SPLIT_SEED) -> Column:
+    """Uniform [0, 1) from the first 8 hex digits of md5(key|seed)."""
+    h = F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}"))), 1, 8), 16, 10)
+    return h.cast("bigint") / F.lit(4294967296.0)
+
+
 def split_expr(key: Column, seed: int = SPLIT_SEED, train: float = 0.7, val: float = 0.1) -> Column:
     """Hash split per row: no shuffle, stratified in expectation."""
-    h = F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}"))), 1, 8), 16, 10)
-    h = h.cast("bigint") / F.lit(4294967296.0)
+    h = split_hash(key, seed)
     return F.when(h < train, "train").when(h < train + val, "val").otherwise("test")
 
 
