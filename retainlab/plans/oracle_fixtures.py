@@ -188,4 +188,5 @@ def with_fixtures(body: str) -> str:
     """Prefix the fixture CTEs; a body starting with ',' adds its own CTEs."""
     body = body.strip()
     sep = "" if body.startswith(",") else "\n"
-    return _bigint_counts(f"WITH {FIXTURE_CTES.strip()}{sep}{body}")
+    head = "WITH RECURSIVE" if "/*recursive*/" in body else "WITH"
+    return _bigint_counts(f"{head} {FIXTURE_CTES.strip()}{sep}{body}")
