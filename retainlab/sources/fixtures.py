@@ -253,3 +253,23 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("vec_id") % 10 == 0, "query").otherwise("reference").alias("role"),
         (F.col("label") >= 5).cast("int").alias("y_true"),
     )
+
+
+# --- fixed values: pool of vector scorers for dynamic selection ------------
+# scorer vj reads embedding dimension j-1: score = clamp(0.5 + 2 x, 0, 1)
+VECTOR_SCORERS = {"v1": 0, "v2": 1, "v3": 2, "v4": 3, "v5": 4}
+
+
+def vector_scores(vec: DataFrame) -> DataFrame:
+    """Long table (vec_id, role, y_true, model, score) of the vector scorers."""
+    pairs = F.array(
+        *[
+            F.struct(
+                F.lit(m).alias("model"),
+                F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(0.5) + F.lit(2.0) * F.col("embedding")[j].cast("double")))
+                .alias("score"),
+            )
+            for m, j in VECTOR_SCORERS.items()
+        ]
+    )
+    return vec.select("vec_id", "role", "y_true", F.inline(pairs))
