@@ -74,7 +74,7 @@ def main() -> int:
         stype = {f.name: f.dataType.simpleString() for f in df.schema.fields}
         dtype = {d[0]: str(d[1]) for d in res.description}
         tmap = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
-                "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+                "boolean": "BOOLEAN", "date": "DATE", "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
         tdiff = {c: (stype[c], dtype[c]) for c in cols
                  if tmap.get(stype[c], stype[c]).upper() != dtype[c].upper() and not
                  (stype[c].startswith("array") or dtype[c].endswith("[]"))}
