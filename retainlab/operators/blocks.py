@@ -2,10 +2,12 @@
 
 K1 ``prefix_sums``: exact global running totals / ranks without moving all
    rows into one task. Rows are range-partitioned on the full sort key (a
-   unique tie-breaker makes hot values split across ranges), per-range totals
-   (at most ``n_ranges`` x groups rows) give each range its offset, and the
-   running sum inside a range adds that offset. The range exchange is shared by
-   both uses (Spark reuses the identical exchange), so the range ids agree.
+   unique tie-breaker makes hot values split across ranges) and written once
+   with ``checkpoint()`` together with their range id, so the per-range totals
+   (at most ``n_ranges`` x groups rows) and the running sums read the same ids
+   even when a stage is recomputed after a lost executor (a recomputed range
+   sample could otherwise draw different bounds). Each range's offset is the
+   sum of the totals before it; the running sum inside a range adds it.
 K3 ``grid_index``: map a score to the number of grid thresholds it reaches,
    so a whole threshold sweep is one pass plus cumulative sums over T rows.
 ``exact_quantiles``: exact interpolated quantiles from (value, count) groups
@@ -20,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from retainlab.session import checkpoint_dir
+
 
 def _n_ranges(df: DataFrame, n_ranges: int | None) -> int:
     if n_ranges:
@@ -49,7 +53,8 @@ def prefix_sums(
     vcols = {f"_v_{k}": v for k, v in values.items()}
     base = df.withColumns(vcols) if vcols else df
     sort_exprs = [F.col(g).asc() for g in group] + list(order)
-    ranged = base.repartitionByRange(n, *sort_exprs).withColumn("_pid", F.spark_partition_id())
+    checkpoint_dir(df.sparkSession)
+    ranged = base.repartitionByRange(n, *sort_exprs).withColumn("_pid", F.spark_partition_id()).checkpoint()
     aggs = [F.count(F.lit(1)).alias("_t_n")] + [F.sum(c).alias(f"_t{c}") for c in vcols]
     totals = ranged.groupBy(*group, "_pid").agg(*aggs)
     before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

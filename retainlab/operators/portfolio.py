@@ -9,7 +9,7 @@ or a K1 rank filter when k grows with the data (budgets).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retainlab import config as C
@@ -472,13 +472,11 @@ def strategy_comparison(pf: DataFrame, strategies: DataFrame, budget: float = 50
         F.round(saved - cost, 2).alias("net_roi"),
         F.when(cost > 0, F.round((saved - cost) / cost * 100, 4)).otherwise(F.lit(0.0)).alias("roi_pct"),
     )
-    a = t.filter(F.col("slot") == "A").select(F.col("net_roi").alias("_a"))
-    b = t.filter(F.col("slot") == "B").select(F.col("net_roi").alias("_b"))
-    w = a.crossJoin(b)  # one row each
-    return t.crossJoin(w).withColumn(
-        "is_winner",
-        F.when(F.col("slot") == "A", F.col("_a") > F.col("_b")).otherwise(~(F.col("_a") > F.col("_b"))),
-    ).drop("_a", "_b")
+    # winner over the strategy rows only (a window over two rows)
+    w = Window.partitionBy()
+    a = F.max(F.when(F.col("slot") == "A", F.col("net_roi"))).over(w)
+    b = F.max(F.when(F.col("slot") == "B", F.col("net_roi"))).over(w)
+    return t.withColumn("is_winner", F.when(F.col("slot") == "A", a > b).otherwise(~(a > b)))
 
 
 def strategy_sensitivity(pf: DataFrame, strategies: DataFrame, budget: float = 50000.0,

@@ -28,7 +28,10 @@ def _data(spark: SparkSession, sf_dir: str):
     v = MD.labelled(v, cw).withColumn(
         "pos_weight", F.when(F.col("y_true") == 1, F.lit(float(ratio))).otherwise(F.lit(1.0)))
     train = v.filter(F.col("split") == "train")
-    return v, train, train.count(), len(prep.names)
+    n = train.count()
+    d = len(prep.names)
+    train = MD.right_size(train, n, 8 * d + 64).persist()
+    return v, train, n, d
 
 
 def _out(df: DataFrame) -> DataFrame:
