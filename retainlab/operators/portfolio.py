@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from retainlab import config as C
 from retainlab.functions import rules as R
 from retainlab.functions.features import engineer_features
-from retainlab.operators.blocks import numpy_bin, numpy_edge, prefix_sums
+from retainlab.operators.blocks import exact_quantiles, numpy_bin, numpy_edge, prefix_sums
 
 ID = C.ID_COL
 
@@ -110,14 +110,10 @@ def top_factors(
             for c in names
         ]
     )
-    ex = x.select(ID, F.inline(contrib))
-    # rank inside each row's own small array: sort the array, no window shuffle
-    ranked = ex.groupBy(ID).agg(
-        F.sort_array(
-            F.collect_list(F.struct((-F.abs(F.col("value"))).alias("k"), "feature", "value"))
-        ).alias("a")
-    )
-    top = ranked.select(ID, F.posexplode(F.slice("a", 1, n)).alias("pos", "s"))
+    # rank inside each row's own array (one sort per row, no shuffle)
+    ranked = F.sort_array(F.transform(contrib, lambda c: F.struct(
+        (-F.abs(c["value"])).alias("k"), c["feature"].alias("feature"), c["value"].alias("value"))))
+    top = x.select(ID, F.posexplode(F.slice(ranked, 1, n)).alias("pos", "s"))
     return top.select(
         ID,
         (F.col("pos") + 1).cast("bigint").alias("rank"),
@@ -634,29 +630,29 @@ def segment_predicate(filters: dict) -> Column:
 
 
 def segment_analysis(pf: DataFrame, filters: dict) -> DataFrame:
-    """One aggregate; exact median through ``percentile`` over the segment.
-
-    The median aggregate keeps one (value -> count) map per task; values are
-    probabilities of one model, so distinct values are bounded by the model's
-    resolution rather than the row count.
-    """
+    """One aggregate for the segment plus an exact median through K1 over
+    (value, count) groups, so no task holds all values; empty gives size 0."""
     r = with_revenue(pf)
     total = r.agg(F.count(F.lit(1)).alias("_all"))
     seg = r.filter(segment_predicate(filters))
     a = seg.agg(
         F.count(F.lit(1)).alias("segment_size"),
         F.round(F.avg("churn_probability"), 4).alias("avg_churn_probability"),
-        F.round(F.percentile("churn_probability", 0.5), 4).alias("median_churn_probability"),
         F.count_if(F.col("risk_tier") == "high").alias("high_risk_count"),
         F.round(F.avg("MonthlyCharges"), 2).alias("avg_monthly_charges"),
         F.round(F.avg("tenure"), 4).alias("avg_tenure"),
         F.round(F.sum("revenue_at_risk"), 2).alias("total_revenue_at_risk"),
         F.round(F.avg("revenue_at_risk"), 2).alias("avg_revenue_at_risk"),
     )
-    return a.crossJoin(total).select(
+    med = exact_quantiles(seg.select(F.lit(0).alias("_g"), "churn_probability"), "_g", "churn_probability", 0.5)
+    med = med.select(F.round("quantile", 4).alias("median_churn_probability"))
+    one = a.crossJoin(total).join(med, how="left")  # all one-row tables
+    return one.select(
         "segment_size",
         F.round(F.col("segment_size") / F.col("_all") * 100, 4).alias("pct_of_total"),
-        *[c for c in a.columns if c != "segment_size"],
+        "avg_churn_probability",
+        "median_churn_probability",
+        *[c for c in a.columns if c not in ("segment_size", "avg_churn_probability")],
     )
 
 
