@@ -94,12 +94,11 @@ def grid_index(score: Column, start: float, stop: float, num: int) -> Column:
         return F.when(i >= num - 1, F.lit(float(stop))).otherwise(i.cast("double") * F.lit(step) + F.lit(start))
 
     guess = F.floor((score - F.lit(start)) / F.lit(step)).cast("int") + 1
-    j = F.least(F.greatest(guess, F.lit(0)), F.lit(num))
-    # j should satisfy t_{j-1} <= score < t_j (0-based grid). Fix both edges twice.
-    for _ in range(2):
-        j = F.when((j < num) & (score >= t(j)), j + 1).otherwise(j)
-        j = F.when((j > 0) & (score < t(j - 1)), j - 1).otherwise(j)
-    return j
+    g = F.least(F.greatest(guess, F.lit(0)), F.lit(num))
+    # the arithmetic guess is off by at most one grid point: one step each way
+    up = ((g < num) & (score >= t(g))).cast("int")
+    down = ((g > 0) & (score < t(g - 1))).cast("int")
+    return g + up - down
 
 
 def numpy_bin(x: Column, first: Column, last: Column, bins: int) -> Column:

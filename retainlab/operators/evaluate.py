@@ -117,6 +117,24 @@ def average_precision(scores: DataFrame, group: str = "model") -> DataFrame:
     return a.select(group, F.when(F.col("_p") > 0, F.round(F.col("_num") / F.col("_p"), 6)).alias("average_precision"))
 
 
+def curve_stats(scores: DataFrame, group: str = "model") -> DataFrame:
+    """ROC-AUC and average precision from one pass over the tie groups."""
+    t = tie_groups(scores, group)
+    prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
+    a = t.groupBy(group).agg(
+        F.sum(F.col("neg") * (F.col("cum_pos") * 2 - F.col("pos"))).alias("_num"),
+        F.sum(F.col("pos") * prec).alias("_apn"),
+        F.sum("pos").alias("_p"),
+        F.sum("neg").alias("_n"),
+    )
+    den = F.col("_p").cast("double") * F.col("_n").cast("double") * 2.0
+    return a.select(
+        group,
+        F.when(den > 0, F.round(F.col("_num") / den, 6)).alias("roc_auc"),
+        F.when(F.col("_p") > 0, F.round(F.col("_apn") / F.col("_p"), 6)).alias("pr_auc"),
+    )
+
+
 def roc_points(scores: DataFrame, group: str = "model") -> DataFrame:
     """All distinct-threshold ROC points plus the origin (threshold null)."""
     t = tie_groups(scores, group)
@@ -296,7 +314,6 @@ def leaderboard(val: DataFrame, test: DataFrame, cost_fn: float = C.COST_FN, cos
         F.round("biz_threshold", 6).alias("biz_threshold"),
         M.cost(F.col("biz_fn"), F.col("biz_fp"), cost_fn, cost_fp).alias("biz_cost"),
     )
-    m = m.join(roc_auc(test, group), group).join(average_precision(test, group).withColumnRenamed(
-        "average_precision", "pr_auc"), group)
+    m = m.join(curve_stats(test, group), group)
     w = Window.orderBy(F.col("f1").desc(), F.col(group).asc())  # one row per model
     return m.withColumn("rank", F.row_number().over(w)).withColumn("is_best", F.col("rank") == 1)

@@ -159,6 +159,7 @@ def fit_preprocessor(train: DataFrame, scale: str | None = "standard", output: s
     driver to become stage parameters; rows never do.
     """
     num, cat = split_columns(train)
+    train = train.persist()  # several small statistics passes read the same rows
     med = {r["feature"]: r["median"] for r in medians(train, num).collect()}
     med = {c: med.get(c, 0.0) for c in num}
     mode_map = {r["feature"]: r["mode"] for r in modes(train, cat).collect()}
@@ -195,4 +196,5 @@ def fit_preprocessor(train: DataFrame, scale: str | None = "standard", output: s
     ohe_model = ohe.fit(indexer.transform(imputed_train))
     assembler = VectorAssembler(inputCols=num + ohe_cols, outputCol=output, handleInvalid="keep")
     names = list(num) + [f"{c}_{v}" for c, lab in zip(cat, labels) for v in lab]
+    train.unpersist()
     return Prepared(PipelineModel([sqlt, indexer, ohe_model, assembler]), num, cat, names)

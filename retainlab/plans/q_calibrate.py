@@ -54,8 +54,7 @@ METRICS = ["f1", "recall", "precision", "roc_auc", "pr_auc"]
 
 def _metrics_row(scores):
     m = E.with_metrics(E.confusion(scores), ("f1", "recall", "precision")).drop("tp", "fp", "fn", "tn")
-    m = m.join(E.roc_auc(scores), "model")
-    return m.join(E.average_precision(scores).withColumnRenamed("average_precision", "pr_auc"), "model")
+    return m.join(E.curve_stats(scores), "model")
 
 
 @query("metric_delta", ties_sql("test") + f"""

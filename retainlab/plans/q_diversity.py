@@ -160,8 +160,7 @@ def q_subset_eval(spark, sf_dir):
     test = scores_long(spark, sf_dir, "test").filter(F.col("model").isin(chosen))
     sv = D.soft_vote(D.score_arrays(test, chosen), chosen).withColumn("model", F.lit("+".join(chosen)))
     m = E.with_metrics(E.confusion(sv), ("f1", "recall", "precision", "accuracy")).drop("tp", "fp", "fn", "tn")
-    out = m.join(E.roc_auc(sv), "model").join(E.average_precision(sv).withColumnRenamed("average_precision", "pr_auc"),
-                                              "model")
+    out = m.join(E.curve_stats(sv), "model")
     return out.withColumnRenamed("model", "models")
 
 
