@@ -475,6 +475,25 @@ def strategy_comparison(pf: DataFrame, strategies: DataFrame, budget: float = 50
     return t.withColumn("is_winner", F.when(F.col("slot") == "A", a > b).otherwise(~(a > b)))
 
 
+def strategy_breakdown(pf: DataFrame, strategies: DataFrame, budget: float = 50000.0,
+                       min_probability: float = 0.3) -> DataFrame:
+    """Targets of each strategy by tier and by contract: the ranked at-risk
+    rows joined with each strategy's row limit (a range condition on rank
+    against a table of one row per strategy)."""
+    ranked = _strategy_targets(pf, min_probability)
+    t = _strategy_totals(pf, strategies, budget, min_probability).select("slot", "n_take")
+    tgt = ranked.join(F.broadcast(t), F.col("rank") <= F.col("n_take"))
+    return pf.sparkSession.sql(
+        """
+        SELECT slot, CASE WHEN grouping(risk_tier) = 0 THEN 'risk_tier' ELSE 'Contract' END AS dimension,
+               coalesce(risk_tier, Contract) AS value, count(*) AS n
+        FROM {tgt}
+        GROUP BY GROUPING SETS ((slot, risk_tier), (slot, Contract))
+        """,
+        tgt=tgt,
+    )
+
+
 def strategy_sensitivity(pf: DataFrame, strategies: DataFrame, budget: float = 50000.0,
                          min_probability: float = 0.3) -> DataFrame:
     """Effectiveness 10..50 % for both strategies; targets are computed once."""

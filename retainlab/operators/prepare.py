@@ -198,3 +198,41 @@ def fit_preprocessor(train: DataFrame, scale: str | None = "standard", output: s
     names = list(num) + [f"{c}_{v}" for c, lab in zip(cat, labels) for v in lab]
     train.unpersist()
     return Prepared(PipelineModel([sqlt, indexer, ohe_model, assembler]), num, cat, names)
+
+
+# --------------------------------------------------------------- P9 SMOTE
+def smote(train_vec: DataFrame, key: str = "k", vec: str = "vec", label: str = "y_true", k: int = 5,
+          seed: int = 42) -> DataFrame:
+    """Minority oversampling by neighbour interpolation, train rows only.
+
+    Neighbours come from the exact K2 join inside the minority class. The
+    n_major - n_minor synthetic rows are spread over minority rows by their
+    K1 rank (row r makes floor(need / n_min) copies, one more when
+    r <= need mod n_min); copy c of row x picks neighbour
+    1 + hash(x, c) mod k and the gap u = hash-uniform(x, c):
+    x_new = x + u (nb - x). Deterministic, no sampling, no driver loop.
+    """
+    from retainlab.operators.neighbours import knn_join
+
+    counts = {r[0]: r[1] for r in train_vec.groupBy(label).count().collect()}
+    minority = min(counts, key=counts.get)
+    n_min, n_maj = counts[minority], max(counts.values())
+    need = n_maj - n_min
+    mino = train_vec.filter(F.col(label) == minority).select(key, vec)
+    if need <= 0 or n_min < 2:
+        return mino.limit(0).select(F.col(key).alias("base_key"), F.lit(0).alias("copy"), F.lit(minority).alias(label),
+                                    F.col(vec).alias("features"))
+    nb = knn_join(mino, mino, min(k, n_min - 1), qid=key, rid=key, vec=vec, exclude_self=True)
+    ranked = prefix_sums(mino, [F.col(key).asc()], rank_col="_r")
+    per, extra = divmod(need, n_min)
+    copies = F.lit(per) + (F.col("_r") <= extra).cast("int")
+    rep = ranked.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).filter(copies > 0)
+    kk = min(k, n_min - 1)
+    h = F.xxhash64(F.col(key), F.col("copy"), F.lit(seed))
+    rep = rep.withColumn("_nr", (F.pmod(h, F.lit(kk)) + 1).cast("int"))
+    rep = rep.withColumn("_u", F.pmod(F.xxhash64(F.col(key), F.col("copy"), F.lit(seed + 1)), F.lit(1 << 30))
+                         / F.lit(float(1 << 30)))
+    nbv = nb.select(F.col("qid").alias(key), F.col("rank").alias("_nr"), F.col("rid").alias("_nb"))
+    j = rep.join(nbv, [key, "_nr"]).join(mino.select(F.col(key).alias("_nb"), F.col(vec).alias("_nv")), "_nb")
+    new = F.zip_with(vec, "_nv", lambda a, b: a + F.col("_u") * (b - a))
+    return j.select(F.col(key).alias("base_key"), "copy", F.lit(minority).alias(label), new.alias("features"))

@@ -252,6 +252,16 @@ def q_campaign_targets(spark, sf_dir):
     return P.campaign_targets(scored_portfolio(spark, sf_dir), BUDGET, OFFER_COST, 0.0)
 
 
+@query("campaign_top20", RANKED_CAMPAIGN + """
+SELECT rank, customerID, round(churn_probability, 4) AS churn_probability, risk_tier, Contract,
+       MonthlyCharges, round(expected_savings, 2) AS expected_savings
+FROM t WHERE rank <= 20
+""")
+def q_campaign_top20(spark, sf_dir):
+    """The first 20 targets of the campaign."""
+    return P.campaign_targets(scored_portfolio(spark, sf_dir), BUDGET, OFFER_COST, 0.0).filter("rank <= 20")
+
+
 @query("campaign_summary", RANKED_CAMPAIGN + """
 SELECT (SELECT count(*) FROM r) AS total_eligible, count(*) AS customers_targeted,
        round(count(*) * 50.0::DOUBLE, 2) AS campaign_cost,
@@ -353,6 +363,16 @@ def q_strategy_comparison(spark, sf_dir):
     return P.strategy_comparison(scored_portfolio(spark, sf_dir), _strategies(spark), BUDGET, 0.3)
 
 
+@query("strategy_breakdown", AT_RISK + """
+, tg AS (SELECT st2.slot, ar.* FROM st2 JOIN ar ON ar.rank <= st2.n_take)
+SELECT slot, CASE WHEN grouping(risk_tier) = 0 THEN 'risk_tier' ELSE 'Contract' END AS dimension,
+       coalesce(risk_tier, Contract) AS value, count(*) AS n
+FROM tg GROUP BY GROUPING SETS ((slot, risk_tier), (slot, Contract))
+""")
+def q_strategy_breakdown(spark, sf_dir):
+    return P.strategy_breakdown(scored_portfolio(spark, sf_dir), _strategies(spark), BUDGET, 0.3)
+
+
 @query("strategy_sensitivity", AT_RISK + """
 SELECT CAST(e AS INTEGER) AS effectiveness_pct,
        max(CASE WHEN slot = 'A' THEN round(rar_sum * (e / 100.0) - n_take * cost_per_customer, 2) END) AS strategy_a_roi,

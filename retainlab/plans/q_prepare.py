@@ -199,3 +199,13 @@ def q_prepared_vectors(spark, sf_dir):
     v, prep = prepared_vectors(spark, sf_dir)
     arr = vector_to_array("features")
     return v.select(C.ID_COL, "split", "y_true", F.size(arr).alias("n_features"), arr.alias("features"))
+
+
+@query("smote_rows")
+def q_smote_rows(spark, sf_dir):
+    """Synthetic minority rows for the train split (n_major - n_minor rows)."""
+    from pyspark.ml.functions import vector_to_array
+
+    v, prep = prepared_vectors(spark, sf_dir)
+    tr = v.filter(F.col("split") == "train").select("k", "y_true", vector_to_array("features").alias("vec"))
+    return PR.smote(tr)

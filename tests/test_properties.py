@@ -86,3 +86,17 @@ def test_tiers_sum_to_total(spark):
     pf = scored_portfolio(spark, SMALL)
     rows = P.tier_breakdown(pf).filter("Contract IS NULL").collect()
     assert sum(r["n"] for r in rows) == pf.count()
+
+
+def test_smote_counts_and_segments(spark):
+    from retainlab.operators.prepare import smote
+
+    rows = [(i, 1 if i % 4 == 0 else 0, [float(i % 7), float(i % 5)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, y_true int, vec array<double>")
+    out = smote(df, k=3)
+    assert out.count() == 150 - 50
+    mino = [r[2] for r in rows if r[1] == 1]
+    lo = [min(v[i] for v in mino) for i in range(2)]
+    hi = [max(v[i] for v in mino) for i in range(2)]
+    for r in out.collect():
+        assert all(lo[i] - 1e-9 <= r["features"][i] <= hi[i] + 1e-9 for i in range(2))
