@@ -46,10 +46,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        try:
+            configured = spark.conf.get("spark.checkpoint.dir", None)
+        except Exception:  # noqa: BLE001 - not readable as a session conf
+            configured = None
+    if not configured:
+        # local runs and tests only: a fresh scratch folder of this process
         configured = tempfile.mkdtemp(prefix="retainlab-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir() or configured
 
