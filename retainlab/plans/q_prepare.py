@@ -189,7 +189,7 @@ def q_class_weights(spark, sf_dir):
 
 
 def prepared_vectors(spark: SparkSession, sf_dir: str, scale: str | None = "standard") -> tuple[DataFrame, PR.Prepared]:
-    x = prepared_input(spark, sf_dir)
+    x = prepared_input(spark, sf_dir).persist()  # statistics passes and the transform read it
     prep = PR.fit_preprocessor(x.filter(F.col("split") == "train"), scale=scale)
     return prep.model.transform(x), prep
 
