@@ -191,8 +191,12 @@ def customer_page(
     tier: str | None = None,
     sort_by: str = "churn_probability",
     sort_desc: bool = True,
+    after: tuple | None = None,
 ) -> DataFrame:
-    """One page plus total and total_pages; ties broken by id."""
+    """One page plus total and total_pages; ties broken by id. Shallow pages
+    use offset + limit (one TakeOrderedAndProject); deep pages should pass
+    ``after`` = (sort value, id) of the previous page's last row (key-set
+    paging), so no task keeps offset + limit rows."""
     df = pf
     if tier in C.TIERS:
         df = df.filter(F.col("risk_tier") == tier)
@@ -201,7 +205,14 @@ def customer_page(
         order.append(F.col(sort_by).desc() if sort_desc else F.col(sort_by).asc())
     order.append(F.col(ID).asc())
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    rows = df.orderBy(*order).offset((page - 1) * per_page).limit(per_page)
+    if after is not None and sort_by in df.columns:
+        # key-set paging: rows strictly after the last (value, id) of the previous page
+        v, last_id = after
+        c = F.col(sort_by)
+        beyond = (c < F.lit(v)) if sort_desc else (c > F.lit(v))
+        rows = df.filter(beyond | ((c == F.lit(v)) & (F.col(ID) > F.lit(last_id)))).orderBy(*order).limit(per_page)
+    else:
+        rows = df.orderBy(*order).offset((page - 1) * per_page).limit(per_page)
     rows = rows.select(
         *[F.round(c, 4).alias(c) if c == "churn_probability" else F.col(c) for c in PAGE_COLUMNS]
     )
@@ -229,15 +240,13 @@ def scenario_delta(
     """
     over = [c for c in scenarios.columns if c != "scenario"]
     s = scenarios.select("scenario", *[F.col(c).alias(f"_new_{c}") for c in over])
-    x = pf.crossJoin(F.broadcast(s))
-    orig = engineer_features(x)
-    p0 = score_fn(orig)
-    mod = x.withColumns({c: F.coalesce(F.col(f"_new_{c}"), F.col(c)) for c in over})
-    mod = engineer_features(mod)
-    p1 = score_fn(mod)
-    orig = orig.select(ID, "scenario", p0.alias("p_orig"))
-    mod = mod.select(ID, "scenario", p1.alias("p_mod"))
-    j = orig.join(mod, [ID, "scenario"])
+    x = pf.crossJoin(F.broadcast(s))  # a fixed, small scenario table
+    # both versions are scored in the same row: no self-join
+    x = engineer_features(x)
+    x = x.withColumn("p_orig", score_fn(x))
+    x = x.withColumns({c: F.coalesce(F.col(f"_new_{c}"), F.col(c)) for c in over})
+    x = engineer_features(x)
+    j = x.withColumn("p_mod", score_fn(x))
     return j.select(
         ID,
         "scenario",

@@ -223,25 +223,28 @@ def scores_long(spark: SparkSession, sf_dir: str, split: str | None = None) -> D
 def profile_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """profile plus duplicated, unmapped-target and null rows (FIXTURES.md section 1).
 
-    Keeps the helper key ``k``. The duplicate copies get a new id, so they are
-    duplicates once the id is dropped.
+    One pass over the keyed profile: each row explodes into its base row and
+    the variants its key selects. Keeps the helper key ``k``. The duplicate
+    copies get a new id, so they are duplicates once the id is dropped.
     """
     p = profile_keyed(spark, sf_dir)
-    cols = ["k", ID_COL, *FEATURE_COLUMNS, TARGET_COL]
-    base = p.select(*cols)
-    dup = p.filter(F.col("k") % 100 == 1).withColumn(ID_COL, F.concat(F.col(ID_COL), F.lit("-dup")))
-    maybe = p.filter(F.col("k") % 150 == 2).withColumn(ID_COL, F.concat(F.col(ID_COL), F.lit("-maybe")))
-    maybe = maybe.withColumn(TARGET_COL, F.lit("Maybe"))
-    nopay = p.filter(F.col("k") % 70 == 3).withColumn(ID_COL, F.concat(F.col(ID_COL), F.lit("-nopay")))
-    nopay = nopay.withColumn("PaymentMethod", F.lit(None).cast("string"))
-    nosec = p.filter(F.col("k") % 80 == 4).withColumn(ID_COL, F.concat(F.col(ID_COL), F.lit("-nosec")))
-    nosec = nosec.withColumn("OnlineSecurity", F.lit(None).cast("string"))
-    return (
-        base.unionByName(dup.select(*cols))
-        .unionByName(maybe.select(*cols))
-        .unionByName(nopay.select(*cols))
-        .unionByName(nosec.select(*cols))
-    )
+    k = F.col("k")
+    variants = F.array_compact(F.array(
+        F.lit("base"),
+        F.when(k % 100 == 1, F.lit("dup")),
+        F.when(k % 150 == 2, F.lit("maybe")),
+        F.when(k % 70 == 3, F.lit("nopay")),
+        F.when(k % 80 == 4, F.lit("nosec")),
+    ))
+    x = p.withColumn("_v", F.explode(variants))
+    v = F.col("_v")
+    x = x.withColumns({
+        ID_COL: F.when(v == "base", F.col(ID_COL)).otherwise(F.concat(F.col(ID_COL), F.lit("-"), v)),
+        TARGET_COL: F.when(v == "maybe", F.lit("Maybe")).otherwise(F.col(TARGET_COL)),
+        "PaymentMethod": F.when(v == "nopay", F.lit(None).cast("string")).otherwise(F.col("PaymentMethod")),
+        "OnlineSecurity": F.when(v == "nosec", F.lit(None).cast("string")).otherwise(F.col("OnlineSecurity")),
+    })
+    return x.select("k", ID_COL, *FEATURE_COLUMNS, TARGET_COL)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,3 +106,17 @@ def test_metric_table_round_trip(spark, tmp_path):
         df.write.mode("overwrite").format(fmt).option("header", True).save(path)
         back = spark.read.schema(df.schema).format(fmt).option("header", True).load(path)
         assert back.collect() == df.collect()
+
+
+def test_keyset_page_equals_offset_page(spark):
+    from retainlab.plans.q_portfolio import scored_portfolio
+
+    from .conftest import SMALL
+
+    pf = scored_portfolio(spark, SMALL)
+    p1 = P.customer_page(pf, page=1, per_page=7, sort_by="MonthlyCharges").collect()
+    p2 = P.customer_page(pf, page=2, per_page=7, sort_by="MonthlyCharges").collect()
+    last = p1[-1]
+    k2 = P.customer_page(pf, per_page=7, sort_by="MonthlyCharges",
+                         after=(last["MonthlyCharges"], last["customerID"])).collect()
+    assert [r["customerID"] for r in k2] == [r["customerID"] for r in p2]
