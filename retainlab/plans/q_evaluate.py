@@ -249,6 +249,7 @@ th AS (SELECT f1v.model, t_f1, biz_threshold FROM f1v JOIN bzv ON f1v.model = bz
 ct AS (SELECT s.model, th.t_f1, th.biz_threshold,
               count_if(y_true = 1 AND score >= t_f1) AS tp, count_if(y_true = 0 AND score >= t_f1) AS fp,
               count_if(y_true = 1 AND score < t_f1) AS fn, count_if(y_true = 0 AND score < t_f1) AS tn,
+              count_if((y_true = 1) = (score >= 0.5)) AS right_default, count(*) AS n_all,
               count_if(y_true = 1 AND score < biz_threshold) AS biz_fn,
               count_if(y_true = 0 AND score >= biz_threshold) AS biz_fp
        FROM scores_long s JOIN th ON s.model = th.model WHERE s.split = 'test' GROUP BY s.model, th.t_f1, th.biz_threshold),
@@ -263,7 +264,7 @@ auc AS (SELECT pn.model, round(CAST(2 * coalesce(w, 0) + coalesce(ties, 0) AS DO
 , ap AS (SELECT model, round(sum(pos * (CAST(cum_pos AS DOUBLE) / (cum_pos + cum_neg))) / sum(pos), 6) AS pr_auc
          FROM cu GROUP BY model),
 m AS (SELECT ct.model, round(t_f1, 6) AS t_f1, round({metric_sql('f1')}, 6) AS f1, round({metric_sql('recall')}, 6) AS recall,
-             round({metric_sql('precision')}, 6) AS precision, round({metric_sql('accuracy')}, 6) AS accuracy,
+             round({metric_sql('precision')}, 6) AS precision, round(CAST(right_default AS DOUBLE) / n_all, 6) AS accuracy,
              round(biz_threshold, 6) AS biz_threshold, CAST(biz_fn AS DOUBLE) * 500.0 + CAST(biz_fp AS DOUBLE) * 50.0 AS biz_cost,
              auc.roc_auc, ap.pr_auc
       FROM ct JOIN auc ON ct.model = auc.model JOIN ap ON ct.model = ap.model)
