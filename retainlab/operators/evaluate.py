@@ -266,18 +266,20 @@ def error_cost(scores: DataFrame, threshold: float = C.DEFAULT_THRESHOLD, cost_f
 
 def cost_savings(scores: DataFrame, cost_fn: float = C.COST_FN, cost_fp: float = C.COST_FP,
                  group: str = "model") -> DataFrame:
-    """Best curve cost against the cost at t = 0.5."""
-    best = business_threshold(scores, cost_fn, cost_fp, group=group)
-    base = error_cost(scores, C.DEFAULT_THRESHOLD, cost_fn, cost_fp, group).select(
-        group, F.col("cost").alias("cost_default")
+    """Best curve cost against the curve cost at the grid point nearest 0.5,
+    both picked from one cost curve (<= 99 rows per model)."""
+    c = cost_curve(scores, cost_fn, cost_fp, group=group, digits=None)
+    near = F.struct(F.abs(F.col("threshold") - F.lit(C.DEFAULT_THRESHOLD)), F.col("threshold"))
+    j = c.groupBy(group).agg(
+        F.min_by("cost", near).alias("cost_default"),
+        F.min_by(F.struct("threshold", "cost"), F.struct("cost", "threshold")).alias("b"),
     )
-    j = base.join(best, group)
-    sav = F.col("cost_default") - F.col("cost")
+    sav = F.col("cost_default") - F.col("b.cost")
     return j.select(
         group,
         "cost_default",
-        F.col("threshold").alias("best_threshold"),
-        F.col("cost").alias("best_cost"),
+        F.round("b.threshold", 6).alias("best_threshold"),
+        F.col("b.cost").alias("best_cost"),
         sav.alias("savings"),
         F.when(F.col("cost_default") > 0, F.round(sav / F.col("cost_default") * 100, 4))
         .otherwise(F.lit(0.0)).alias("savings_pct"),

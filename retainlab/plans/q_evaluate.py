@@ -222,13 +222,16 @@ def q_business_threshold(spark, sf_dir):
     return E.business_threshold(_scores(spark, sf_dir, "val"))
 
 
-@query("cost_savings", _biz_sql("test") + f"""
-, c AS ({conf_sql('test')}),
-d AS (SELECT model, CAST(fn AS DOUBLE) * 500.0 + CAST(fp AS DOUBLE) * 50.0 AS cost_default FROM c)
-SELECT d.model, cost_default, bz.threshold AS best_threshold, bz.cost AS best_cost, cost_default - bz.cost AS savings,
+@query("cost_savings", sweep_sql("test", 0.01, 0.99, 99) + """
+, cc AS (SELECT model, threshold, CAST(fn AS DOUBLE) * 500.0 + CAST(fp AS DOUBLE) * 50.0 AS cost FROM sw),
+bz AS (SELECT model, threshold, cost, row_number() OVER (PARTITION BY model ORDER BY cost, threshold) AS r FROM cc),
+df AS (SELECT model, cost AS cost_default,
+              row_number() OVER (PARTITION BY model ORDER BY abs(threshold - 0.5), threshold) AS r FROM cc)
+SELECT d.model, cost_default, round(bz.threshold, 6) AS best_threshold, bz.cost AS best_cost,
+       cost_default - bz.cost AS savings,
        CASE WHEN cost_default > 0 THEN round((cost_default - bz.cost) / cost_default * 100, 4) ELSE 0.0::DOUBLE END
          AS savings_pct
-FROM d JOIN bz ON d.model = bz.model AND bz.r = 1
+FROM df d JOIN bz ON d.model = bz.model AND bz.r = 1 WHERE d.r = 1
 """)
 def q_cost_savings(spark, sf_dir):
     return E.cost_savings(_scores(spark, sf_dir, "test"))
