@@ -24,16 +24,23 @@ CATEGORICAL = [
 
 
 def prepared_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyed, split, coerced, target-mapped rows with engineered features."""
+    """Keyed, split, coerced, target-mapped, de-duplicated rows with
+    engineered features (the modelled load step: duplicates over all columns
+    but the id are dropped before the split; the smallest key survives)."""
     p = CL.coerce_numeric(profile_split(spark, sf_dir))
     p = p.withColumn("y_true", CL.target_expr()).drop(C.TARGET_COL, "risk_pts", "m_cents")
+    p = p.filter(F.col("y_true").isNotNull())
+    survivors = p.groupBy(*C.FEATURE_COLUMNS, "y_true").agg(F.min("k").alias("k")).select("k")
+    p = p.join(survivors, "k", "left_semi")
     return engineer_features(p)
 
 
 # ------------------------------------------------------------------ SQL
 _YES = "CAST(coalesce({c} = 'Yes', false) AS INTEGER)"
 FX_SQL = f"""
-, c0 AS (SELECT * REPLACE (TRY_CAST(trim(TotalCharges) AS DOUBLE) AS TotalCharges) FROM ps),
+, c00 AS (SELECT * REPLACE (TRY_CAST(trim(TotalCharges) AS DOUBLE) AS TotalCharges) FROM ps),
+dd AS (SELECT min(k) AS k FROM c00 GROUP BY {", ".join(C.FEATURE_COLUMNS)}, y_true),
+c0 AS (SELECT * FROM c00 SEMI JOIN dd USING (k)),
 fx AS (
   SELECT customerID, k, split, y_true, gender, SeniorCitizen, Partner, Dependents, tenure, PhoneService,
     MultipleLines, InternetService, OnlineSecurity, OnlineBackup, DeviceProtection, TechSupport, StreamingTV,
@@ -90,9 +97,9 @@ def q_hash_split(spark, sf_dir):
     return profile_split(spark, sf_dir).select(C.ID_COL, "split")
 
 
-@query("exact_stratified_split", """
+@query("exact_stratified_split", FX_SQL + """
 , h AS (SELECT customerID, k, y_true, CAST(('0x' || substr(md5(CAST(k AS VARCHAR) || '|42'), 1, 8)) AS BIGINT)
-                                        / 4294967296.0 AS h FROM ps),
+                                        / 4294967296.0 AS h FROM c0),
 r AS (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY h, k) AS r,
              count(*) OVER (PARTITION BY y_true) AS n FROM h)
 SELECT customerID, y_true,
