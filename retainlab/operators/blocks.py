@@ -39,9 +39,12 @@ def prefix_sums(
     group: Sequence[str] = (),
     rank_col: str = "rank",
     n_ranges: int | None = None,
+    total_col: str = "group_total",
 ) -> DataFrame:
-    """Add ``rank_col`` (1-based position in ``order`` within ``group``) and
-    inclusive running sums ``cum_<name>`` for each value column.
+    """Add ``rank_col`` (1-based position in ``order`` within ``group``),
+    inclusive running sums ``cum_<name>`` for each value column, and the
+    group's row count (``total_col``) and sums (``total_<name>``) taken from
+    the per-range totals, so callers need no second aggregate.
 
     ``order`` must be a total order within a group (end it with a unique key).
     ``group`` must have few distinct values (models, classes): the offset
@@ -58,11 +61,14 @@ def prefix_sums(
     aggs = [F.count(F.lit(1)).alias("_t_n")] + [F.sum(c).alias(f"_t{c}") for c in vcols]
     totals = ranged.groupBy(*group, "_pid").agg(*aggs)
     before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group)
     offsets = totals.select(
         *group,
         "_pid",
         F.coalesce(F.sum("_t_n").over(before), F.lit(0)).alias("_o_n"),
         *[F.coalesce(F.sum(f"_t{c}").over(before), F.lit(0)).alias(f"_o{c}") for c in vcols],
+        F.sum("_t_n").over(whole).alias(total_col),
+        *[F.sum(f"_t{c}").over(whole).alias(f"total_{name}") for name, c in zip(values, vcols)],
     )
     joined = ranged.join(F.broadcast(offsets), on=[*group, "_pid"], how="inner")
     inside = (
@@ -136,11 +142,10 @@ def exact_quantiles(
     )
     ranked = prefix_sums(counts, [F.col(value).asc()], {"cnt": F.col("_cnt")}, group=[group],
                          n_ranges=n_ranges)
-    totals = counts.groupBy(group).agg(F.sum("_cnt").alias("_n"))
-    pos = (F.col("_n") - 1) * F.lit(float(q))
+    pos = (F.col("total_cnt") - 1) * F.lit(float(q))
     lo_i = F.floor(pos)
     hi_i = F.ceil(pos)
-    r = ranked.join(F.broadcast(totals), group)
+    r = ranked
     first = F.col("cum_cnt") - F.col("_cnt")  # 0-based position of the first copy
     r = r.withColumn("_pos", pos).withColumn("_lo", lo_i).withColumn("_hi", hi_i)
     picked = r.filter(

@@ -299,13 +299,9 @@ def campaign_targets(pf: DataFrame, budget: float, offer_cost: float = 50.0,
 def campaign_summary(pf: DataFrame, budget: float, offer_cost: float = 50.0,
                      min_probability: float = 0.0, cost_fn: float = C.COST_FN) -> DataFrame:
     n = int(budget // offer_cost)
-    p = F.col("churn_probability")
-    el = pf.filter(p >= F.lit(min_probability)).withColumn(
-        "expected_savings", p * F.lit(cost_fn) - F.lit(offer_cost)
-    ).filter(F.col("expected_savings") > 0)
     ranked = campaign_ranked(pf, offer_cost, min_probability, cost_fn)
     tgt = ranked.filter(F.col("rank") <= n)
-    eligible = el.agg(F.count(F.lit(1)).alias("total_eligible"))
+    eligible = ranked.agg(F.count(F.lit(1)).alias("total_eligible"))
     tot = tgt.agg(
         F.count(F.lit(1)).alias("customers_targeted"),
         F.coalesce(F.sum("churn_probability"), F.lit(0.0)).alias("_ret"),

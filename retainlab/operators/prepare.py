@@ -51,9 +51,8 @@ def stratified_exact_split(df: DataFrame, hash_col: str, key: str, label: str =
                            train: float = 0.7, val: float = 0.1) -> DataFrame:
     """Exact per-class proportions: rank inside each class by hash (K1, the
     class is never one task), then cut at floor shares of the class size."""
-    ranked = prefix_sums(df, [F.col(hash_col).asc(), F.col(key).asc()], group=[label], rank_col="_r")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    j = ranked.join(F.broadcast(sizes), label)  # one row per class
+    j = prefix_sums(df, [F.col(hash_col).asc(), F.col(key).asc()], group=[label], rank_col="_r",
+                    total_col="_n")
     r0 = (F.col("_r") - 1) * 10
     tr, va = int(round(train * 10)), int(round((train + val) * 10))
     return j.withColumn(
