@@ -25,11 +25,9 @@ from pyspark.sql import functions as F
 from retainlab.session import checkpoint_dir
 
 
-def _n_ranges(df: DataFrame, n_ranges: int | None) -> int:
-    if n_ranges:
-        return n_ranges
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    return max(4 * parts, 8)
+def _n_ranges(df: DataFrame, n_ranges: int | None) -> int | None:
+    """An explicit range count, or None to let AQE size the ranges."""
+    return n_ranges or None
 
 
 def prefix_sums(
@@ -57,7 +55,10 @@ def prefix_sums(
     base = df.withColumns(vcols) if vcols else df
     sort_exprs = [F.col(g).asc() for g in group] + list(order)
     checkpoint_dir(df.sparkSession)
-    ranged = base.repartitionByRange(n, *sort_exprs).withColumn("_pid", F.spark_partition_id()).checkpoint()
+    # without an explicit count AQE sizes the ranges (merging adjacent ranges
+    # keeps a range partitioning); the range id is read after that, then written
+    ranged = base.repartitionByRange(n, *sort_exprs) if n else base.repartitionByRange(*sort_exprs)
+    ranged = ranged.withColumn("_pid", F.spark_partition_id()).checkpoint()
     aggs = [F.count(F.lit(1)).alias("_t_n")] + [F.sum(c).alias(f"_t{c}") for c in vcols]
     totals = ranged.groupBy(*group, "_pid").agg(*aggs)
     before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
