@@ -143,6 +143,8 @@ def subset_f1(arrays: DataFrame, masks: DataFrame, threshold: float = C.DEFAULT_
 def all_subset_f1(arrays: DataFrame, names: list[str], threshold: float = C.DEFAULT_THRESHOLD) -> DataFrame:
     spark = arrays.sparkSession
     m = len(names)
+    if m > 16:  # the subset table is broadcast and has 2^m - 1 rows
+        raise ValueError("all-subset F1 needs 2^m rows; use select_diverse_subset for many models")
     masks = spark.createDataFrame(
         [(mask, "+".join(n for i, n in enumerate(names) if mask >> i & 1), bin(mask).count("1"))
          for mask in range(1, 2 ** m)],
