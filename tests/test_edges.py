@@ -1,6 +1,5 @@
 """Edge cases (FIXTURES section 6) and round trips."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from retainlab.functions import rules as R
