@@ -57,6 +57,21 @@ def q_profile_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile(spark, sf_dir)
 
 
+@query("profile_csv_scan", f"SELECT {PROFILE_COLS} FROM profile")
+def q_profile_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 as the modelled code does it: the customer table as header CSV,
+    read with an explicit schema. The CSV is written from the derived
+    profile into the shared checkpoint folder first."""
+    import uuid
+
+    from retainlab.session import scratch_path
+    from retainlab.sources.io import read_customers_csv, write_csv
+
+    path = scratch_path(spark, f"profile-csv-{uuid.uuid4().hex[:8]}")
+    write_csv(profile(spark, sf_dir), path)
+    return read_customers_csv(spark, path)
+
+
 @query("coerce_charges", """
 SELECT customerID, TRY_CAST(trim(TotalCharges) AS DOUBLE) AS TotalCharges FROM profile
 """)
