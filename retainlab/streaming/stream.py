@@ -31,26 +31,29 @@ def event_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None)
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
-    run = f"stream-{name}-{uuid.uuid4().hex[:8]}"
+def _paths(spark: SparkSession, name: str, run_id: str | None = None) -> tuple[str, str]:
+    """Sink and checkpoint folders; a stable ``run_id`` lets a restarted job
+    resume from its checkpoint, none gives a fresh run."""
+    run = f"stream-{name}-{run_id or uuid.uuid4().hex[:8]}"
     return scratch_path(spark, f"{run}/out"), scratch_path(spark, f"{run}/checkpoint")
 
 
-def run_append(df: DataFrame, name: str) -> DataFrame:
+def run_append(df: DataFrame, name: str, run_id: str | None = None) -> DataFrame:
     """Append-mode stream to a parquet table, run to the end of the input."""
     spark = df.sparkSession
-    out, ckpt = _paths(spark, name)
+    out, ckpt = _paths(spark, name, run_id)
     q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out)
 
 
-def run_complete(df: DataFrame, name: str, finish=None, mode: str = "complete") -> DataFrame:
+def run_complete(df: DataFrame, name: str, finish=None, mode: str = "complete",
+                 run_id: str | None = None) -> DataFrame:
     """Stream whose result table is rewritten per micro-batch (``foreachBatch``);
     ``finish`` maps each batch's result table before it is written."""
     spark = df.sparkSession
-    out, ckpt = _paths(spark, name)
+    out, ckpt = _paths(spark, name, run_id)
 
     def write(batch: DataFrame, epoch: int) -> None:
         res = finish(batch) if finish else batch
