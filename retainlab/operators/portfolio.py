@@ -701,9 +701,12 @@ def segment_profile(pf: DataFrame, filters: dict) -> DataFrame:
 
 
 # ------------------------------------------------------- B28-B30 executive
-def executive_summary(pf: DataFrame) -> DataFrame:
+def executive_summary(pf: DataFrame, model: DataFrame | None = None) -> DataFrame:
+    """Totals, churn rate, tier counts, revenue and mean probability in one
+    aggregate; ``model`` (one row: model_name, model_auc) names the serving
+    model and its test ROC-AUC."""
     r = with_revenue(pf)
-    return r.agg(
+    out = r.agg(
         F.count(F.lit(1)).alias("total_customers"),
         F.round(F.avg(F.when(F.col("Churn") == "Yes", 1.0).when(F.col("Churn") == "No", 0.0)), 4).alias("churn_rate"),
         F.count_if(F.col("risk_tier") == "high").alias("high_risk_count"),
@@ -712,6 +715,7 @@ def executive_summary(pf: DataFrame) -> DataFrame:
         F.round(F.sum("MonthlyCharges") * 12, 2).alias("total_annual_revenue"),
         F.round(F.avg("churn_probability"), 4).alias("avg_churn_probability"),
     )
+    return out if model is None else out.crossJoin(model)  # one row each
 
 
 def priority_actions(pf: DataFrame) -> DataFrame:

@@ -493,11 +493,22 @@ SELECT count(*) AS total_customers,
        count_if(risk_tier = 'high') AS high_risk_count, count_if(risk_tier = 'medium') AS medium_risk_count,
        round(sum(revenue_at_risk), 2) AS total_revenue_at_risk,
        round(sum(MonthlyCharges) * 12, 2) AS total_annual_revenue,
-       round(avg(churn_probability), 4) AS avg_churn_probability
+       round(avg(churn_probability), 4) AS avg_churn_probability,
+       'm1' AS model_name,
+       (SELECT round(CAST(2 * count_if(p.score > n.score) + count_if(p.score = n.score) AS DOUBLE)
+                     / (CAST(count(DISTINCT p.k) AS DOUBLE) * CAST(count(DISTINCT n.k) AS DOUBLE) * 2.0), 6)
+        FROM scores_long p JOIN scores_long n ON p.model = 'm1' AND n.model = 'm1' AND p.split = 'test'
+             AND n.split = 'test' AND p.y_true = 1 AND n.y_true = 0) AS model_auc
 FROM pf
 """)
 def q_executive_summary(spark, sf_dir):
-    return P.executive_summary(scored_portfolio(spark, sf_dir))
+    """Executive summary; the serving model is scorer m1 with its test ROC-AUC."""
+    from retainlab.operators.evaluate import roc_auc
+    from retainlab.sources.fixtures import scores_long
+
+    auc = roc_auc(scores_long(spark, sf_dir, "test").filter(F.col("model") == "m1"))
+    model = auc.select(F.col("model").alias("model_name"), F.col("roc_auc").alias("model_auc"))
+    return P.executive_summary(scored_portfolio(spark, sf_dir), model)
 
 
 @query("priority_actions", f"""
