@@ -205,7 +205,7 @@ def soft_vote(arrays: DataFrame, names: list[str], weights: dict[str, float] | N
     if weights:
         w = F.array(*[F.lit(float(weights.get(n, 0.0))) for n in names])
         num = F.aggregate(F.zip_with("scores", w, lambda s, x: s * x), F.lit(0.0), lambda a, x: a + x)
-        avg = num / F.lit(float(sum(weights.get(n, 0.0) for n in names)))
+        avg = F.try_divide(num, F.lit(float(sum(weights.get(n, 0.0) for n in names))))
     else:
         avg = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x) / F.size("scores")
     return arrays.select(key, "y_true", avg.alias("score"), (avg >= F.lit(threshold)).cast("int").alias("pred"))

@@ -143,8 +143,8 @@ def roc_points(scores: DataFrame, group: str = "model") -> DataFrame:
     pts = j.select(
         group,
         F.col("score").alias("threshold"),
-        F.round(F.col("cum_neg") / F.col("_n"), 6).alias("fpr"),
-        F.round(F.col("cum_pos") / F.col("_p"), 6).alias("tpr"),
+        F.round(F.try_divide(F.col("cum_neg"), F.col("_n")), 6).alias("fpr"),
+        F.round(F.try_divide(F.col("cum_pos"), F.col("_p")), 6).alias("tpr"),
     )
     origin = tot.select(group, F.lit(None).cast("double").alias("threshold"),
                         F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
@@ -162,7 +162,7 @@ def pr_points(scores: DataFrame, group: str = "model") -> DataFrame:
         group,
         F.col("score").alias("threshold"),
         F.round(F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")), 6).alias("precision"),
-        F.round(F.col("cum_pos") / F.col("_p"), 6).alias("recall"),
+        F.round(F.try_divide(F.col("cum_pos"), F.col("_p")), 6).alias("recall"),
         base,
     )
     end = tot.select(group, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"),

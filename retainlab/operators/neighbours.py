@@ -99,10 +99,10 @@ def knn_vote(nb: DataFrame, labels: DataFrame, key: str = "vec_id") -> DataFrame
     g = j.groupBy("qid").agg(
         F.count_if(zero).alias("_z"),
         F.sum(F.when(zero, F.col("ny"))).alias("_zy"),
-        F.sum(F.lit(1.0) / F.col("dist")).alias("_w"),
-        F.sum(F.col("ny") / F.col("dist")).alias("_wy"),
+        F.sum(F.try_divide(F.lit(1.0), F.col("dist"))).alias("_w"),
+        F.sum(F.try_divide(F.col("ny").cast("double"), F.col("dist"))).alias("_wy"),
     )
-    score = F.when(F.col("_z") > 0, F.col("_zy") / F.col("_z")).otherwise(F.col("_wy") / F.col("_w"))
+    score = F.when(F.col("_z") > 0, F.col("_zy") / F.col("_z")).otherwise(F.try_divide(F.col("_wy"), F.col("_w")))
     return g.select(F.col("qid").alias(key), score.alias("score"))
 
 
@@ -129,7 +129,7 @@ def _ordered_mean(weighted: bool) -> Column:
     else:
         num = F.aggregate(arr, F.lit(0.0), lambda a, x: a + x["score"])
         den = F.size(arr).cast("double")
-    return num / den
+    return F.try_divide(num, den)
 
 
 def knora_e(comp: DataFrame, query_scores: DataFrame) -> DataFrame:

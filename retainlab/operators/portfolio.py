@@ -129,7 +129,7 @@ def portfolio_summary(pf: DataFrame, cost_fn: float = C.COST_FN) -> DataFrame:
     return pf.agg(
         F.count(F.lit(1)).alias("total_customers"),
         F.count_if(y == "Yes").alias("actual_churn_count"),
-        F.round(F.count_if(y == "Yes") / F.count(F.lit(1)), 4).alias("actual_churn_rate"),
+        F.round(F.try_divide(F.count_if(y == "Yes"), F.count(F.lit(1))), 4).alias("actual_churn_rate"),
         F.sum("predicted_churn").cast("bigint").alias("predicted_churn_count"),
         F.round(F.avg("churn_probability"), 4).alias("avg_probability"),
         F.round(F.sum("churn_probability") * cost_fn, 2).alias("total_expected_cost"),
@@ -673,7 +673,7 @@ def segment_analysis(pf: DataFrame, filters: dict) -> DataFrame:
     one = a.crossJoin(total).join(med, how="left")  # all one-row tables
     return one.select(
         "segment_size",
-        F.round(F.col("segment_size") / F.col("_all") * 100, 4).alias("pct_of_total"),
+        F.round(F.try_divide(F.col("segment_size"), F.col("_all")) * 100, 4).alias("pct_of_total"),
         "avg_churn_probability",
         "median_churn_probability",
         *[c for c in a.columns if c not in ("segment_size", "avg_churn_probability")],

@@ -133,7 +133,7 @@ def class_weights(train: DataFrame, label: str = "y_true") -> DataFrame:
         label,
         "n",
         F.round(F.col("_all") / (F.col("n") * 2.0), 6).alias("weight"),
-        F.round(F.col("_neg") / F.col("_pos"), 6).alias("scale_pos_weight"),
+        F.round(F.try_divide(F.col("_neg"), F.col("_pos")), 6).alias("scale_pos_weight"),
     )
 
 

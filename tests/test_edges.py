@@ -1,5 +1,6 @@
 """Edge cases (FIXTURES section 6) and round trips."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from retainlab.functions import rules as R
@@ -119,3 +120,19 @@ def test_keyset_page_equals_offset_page(spark):
     k2 = P.customer_page(pf, per_page=7, sort_by="MonthlyCharges",
                          after=(last["MonthlyCharges"], last["customerID"])).collect()
     assert [r["customerID"] for r in k2] == [r["customerID"] for r in p2]
+
+
+def test_knn_vote_zero_distance_takes_all_weight(spark):
+    from retainlab.operators.neighbours import knn_vote
+
+    nb = spark.createDataFrame([(1, 10, 0.0), (1, 11, 0.5), (1, 12, 1.0)], "qid long, rid long, dist double")
+    labels = spark.createDataFrame([(10, 1), (11, 0), (12, 0)], "vec_id long, y_true int")
+    assert knn_vote(nb, labels).first()["score"] == 1.0
+
+
+def test_knora_u_all_zero_hits_falls_back_to_mean(spark):
+    from retainlab.operators.neighbours import knora_u
+
+    comp = spark.createDataFrame([(1, "a", 0, 0), (1, "b", 0, 0)], "qid long, model string, hits int, prefix int")
+    qs = spark.createDataFrame([(1, "a", 0.2), (1, "b", 0.6)], "vec_id long, model string, score double")
+    assert knora_u(comp, qs).first()["score"] == pytest.approx(0.4)
