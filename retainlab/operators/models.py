@@ -89,7 +89,7 @@ def make_estimator(name: str, n_train: int, scale_pos_weight: float = 1.0, seed:
         # C = 1 on the summed loss == regParam 1/(C n) on MLlib's mean loss
         return LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT,
                                   regParam=1.0 / (REFERENCE_PRESETS[name]["C"] * n_train),
-                                  elasticNetParam=0.0, standardization=False, maxIter=100)
+                                  elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-4)
     if name == "random_forest":
         return RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, maxDepth=8,
                                       minInstancesPerNode=5, featureSubsetStrategy="sqrt", subsamplingRate=0.8,
