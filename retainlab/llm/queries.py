@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import op10_language
 from .packing import op7_packing
+from .personal import op6_personal
+from .quality import op9_quality
 from .rans import op1_rans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_rans,
+        op6_personal,
         op7_packing,
+        op9_quality,
+        op10_language,
     )
 }
 
