@@ -26,15 +26,18 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, chunks, load, small_batches
 
-#: fixed values: kinds in their order and the base patterns
+#: fixed values: kinds in their order and the base patterns; an address is
+#: sought from its @ and a dotted number from the first of its digits, which
+#: finds the same spans in linear time
 KINDS = ("email", "ip", "card", "phone")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "email": re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-_NODE = re.compile(r"[^\s0-9@]*[0-9@]\S*")
+_NODE = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
 _RUN = re.compile(r"[A-Za-z]+|[0-9]+")
 _SIGNAL = re.compile(r"[0-9@]")
 Span = tuple[int, int, int]  # start, kind, end
@@ -51,7 +54,8 @@ def luhn(digits: str) -> bool:
 def _valid(kind: str, found: str) -> bool:
     digits = re.sub("[^0-9]", "", found)
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+        parts = [p.lstrip("0") or "0" for p in found.split(".")]
+        return all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
         return 12 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
@@ -59,13 +63,25 @@ def _valid(kind: str, found: str) -> bool:
     return True
 
 
+def addresses(text: str) -> Iterator[Span]:
+    free = 0  # the first place that no earlier address or @ takes
+    for m in PATTERNS["email"].finditer(text):
+        at = m.start()
+        local = text[max(free, text.rfind("@", 0, at) + 1) : at]
+        size = len(local) - len(local.rstrip(_LOCAL))
+        if size:
+            yield at - size, 0, m.end()
+            free = m.end()
+
+
 def base_spans(text: str) -> list[Span]:
     """Leftmost matches of each pattern that pass their test, by start."""
     out: list[Span] = []
     if not _SIGNAL.search(text):
         return out
     for k, kind in enumerate(KINDS):
-        if kind == "email" and "@" not in text or kind == "phone" and "+" not in text:
+        if kind == "email":
+            out += addresses(text)
             continue
         out += [(m.start(), k, m.end()) for m in PATTERNS[kind].finditer(text) if _valid(kind, m[0])]
     return sorted(out)
@@ -215,7 +231,8 @@ class SkipChain:
                 continue
             core = n.word.strip(".,;:!?\"'$#%&*|")
             s = n.start + n.word.find(core)
-            if out and out[-1][1] == label - 1 and s - out[-1][2] <= 1:
+            whole = text[out[-1][0] : s + len(core)] if out and out[-1][1] == label - 1 and s - out[-1][2] <= 1 else ""
+            if whole and len(re.sub("[^0-9]", "", whole)) <= 19:
                 out[-1] = (out[-1][0], label - 1, s + len(core))
             else:
                 out.append((s, label - 1, s + len(core)))

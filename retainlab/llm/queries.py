@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_blocks import op5_html
 from .language import op10_language
 from .packing import op7_packing
 from .personal import op6_personal
+from .phrases import op4_phrases
 from .quality import op9_quality
 from .rans import op1_rans
 
@@ -16,6 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_rans,
+        op4_phrases,
+        op5_html,
         op6_personal,
         op7_packing,
         op9_quality,
