@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .html_blocks import op5_html
+from .jaccard import op8_jaccard
 from .language import op10_language
 from .packing import op7_packing
 from .personal import op6_personal
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_html,
         op6_personal,
         op7_packing,
+        op8_jaccard,
         op9_quality,
         op10_language,
     )
