@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import OP2_SQL, op2_decontaminate
 from .html_blocks import op5_html
 from .jaccard import op8_jaccard
 from .language import op10_language
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_rans,
+        op2_decontaminate,
         op4_phrases,
         op5_html,
         op6_personal,
@@ -29,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL}
