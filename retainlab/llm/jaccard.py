@@ -35,8 +35,8 @@ from .common import arrow_rows, chunks, load, small_batches, span_hashes, write_
 from .groups import components
 
 SKETCH_BITS, SKETCH_ROWS = 20, 64
-SETS = "doc_id long, n_shingles long, key binary, piece int, counts binary"
-_SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("piece", pa.int32()), ("counts", pa.binary())])
+SETS = "doc_id long, hash long, n_shingles long, key binary, piece int, counts binary"
+_SETS = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("piece", pa.int32()), ("counts", pa.binary())])
 
 
 def shingle_set(text: str | None, size: int = 3) -> np.ndarray:
@@ -65,17 +65,17 @@ def describe(docs: DataFrame, shingle: int) -> DataFrame:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
 
         def rows():
-            for doc_id, text in arrow_rows(batches, "doc_id", "text"):
+            for doc_id, code, text in arrow_rows(batches, "doc_id", "hash", "text"):
                 s = shingle_set(text, shingle)
                 np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-                yield doc_id, len(s), digest(s) if len(s) else None, None, None
+                yield doc_id, code, len(s), digest(s) if len(s) else None, None, None
             if counts.any():
                 for i, part in enumerate(np.split(counts, SKETCH_ROWS)):
-                    yield None, None, None, i, part.tobytes()
+                    yield None, None, None, None, i, part.tobytes()
 
         yield from chunks(rows(), _SETS, 2000)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SETS)
+    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, SETS)
 
 
 def levels(described: DataFrame) -> np.ndarray:
@@ -230,12 +230,13 @@ def other_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def link_groups(spark: SparkSession, docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``key`` (digest of the set, null if empty)
-    and ``component_id``, the least id among the documents that links reach."""
+    """``doc_id``, ``hash`` (of the text), ``n_shingles``, ``label`` (of the
+    component, null for an empty set) and ``component_id``, the least id among
+    the documents that links reach."""
     small_batches(spark)
     described = write_stage(spark, describe(docs, shingle), "sets")
     rarity = levels(described)
-    sets = described.filter("piece is null").select("doc_id", "n_shingles", "key")
+    sets = described.filter("piece is null").select("doc_id", "hash", "n_shingles", "key")
     nodes = sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     nodes = write_stage(spark, nodes.withColumn("set", F.xxhash64("key")), "nodes")
     index = write_stage(spark, entries(docs, rarity, shingle, percent), "entries")
@@ -254,12 +255,12 @@ def link_groups(spark: SparkSession, docs: DataFrame, shingle: int = 3, percent:
 
     grouped = nodes.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    by_key = grouped.select("key", "label").join(least, "label").select("key", "component_id")
+    by_key = grouped.select("key", "label").join(least, "label").select("key", "label", "component_id")
     return sets.join(by_key, "key", "left").select(
-        "doc_id", "n_shingles", "key", F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "hash", "n_shingles", "label", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under Jaccard of at least 0.9."""
-    return link_groups(spark, load(spark, sf_dir, "documents")).drop("key")
+    return link_groups(spark, load(spark, sf_dir, "documents")).drop("hash", "label")

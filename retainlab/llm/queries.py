@@ -10,6 +10,7 @@ from .decontaminate import OP2_SQL, op2_decontaminate
 from .html_blocks import op5_html
 from .jaccard import op8_jaccard
 from .language import op10_language
+from .lines import op3_lines
 from .packing import op7_packing
 from .personal import op6_personal
 from .phrases import op4_phrases
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_rans,
         op2_decontaminate,
+        op3_lines,
         op4_phrases,
         op5_html,
         op6_personal,
