@@ -6,8 +6,8 @@
 2. The rarest ``n - ceil(t n) + 1`` shingles of a set are its index entries
    (any pair that links shares one). Index lists are cut into blocks of sets
    of like size, and an entry holds the shingle's position in its set: blocks
-   too short or too long, and entries whose positions leave too little to
-   share, are skipped before any set is read.
+   too short or too long, and entries whose positions or toggled bits leave
+   too little to share, are skipped before any set is read.
 3. Answers of a set are derived from those of a highly similar one: in each
    block all sets are compared with one pivot only. Sets that link to a pivot
    are in one component, and need no comparing with each other; what is left
@@ -35,8 +35,8 @@ from .common import arrow_rows, chunks, load, small_batches, span_hashes, write_
 from .groups import components
 
 SKETCH_BITS, SKETCH_ROWS = 20, 64
-SETS = "doc_id long, hash long, n_shingles long, key binary, piece int, counts binary"
-_SETS = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("piece", pa.int32()), ("counts", pa.binary())])
+SETS = "doc_id long, hash long, n_shingles long, key binary, toggles array<long>, piece int, counts binary"
+_SETS = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("toggles", pa.list_(pa.int64())), ("piece", pa.int32()), ("counts", pa.binary())])
 
 
 def shingle_set(text: str | None, size: int = 3) -> np.ndarray:
@@ -57,6 +57,13 @@ def digest(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
+def toggles(found: np.ndarray) -> list[int]:
+    """256 bits, of which each shingle toggles one: two sets differ in at
+    least as many shingles as these bits do."""
+    odd = np.bincount((found & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def describe(docs: DataFrame, shingle: int) -> DataFrame:
     """A row per document (size and digest of its set), and rows of partial
     shingle counts by the leading bits of the hash (``piece`` not null)."""
@@ -68,10 +75,10 @@ def describe(docs: DataFrame, shingle: int) -> DataFrame:
             for doc_id, code, text in arrow_rows(batches, "doc_id", "hash", "text"):
                 s = shingle_set(text, shingle)
                 np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-                yield doc_id, code, len(s), digest(s) if len(s) else None, None, None
+                yield doc_id, code, len(s), digest(s) if len(s) else None, toggles(s), None, None
             if counts.any():
                 for i, part in enumerate(np.split(counts, SKETCH_ROWS)):
-                    yield None, None, None, None, i, part.tobytes()
+                    yield None, None, None, None, None, i, part.tobytes()
 
         yield from chunks(rows(), _SETS, 2000)
 
@@ -143,11 +150,17 @@ def entries(docs: DataFrame, rarity: np.ndarray, shingle: int, percent: int) ->
 
 
 def may_link(x: str, y: str, percent: int) -> Column:
-    """Size and position bounds of two entries of one list: at most
-    ``min(at) + 1 + min(rest)`` shingles can be shared."""
+    """Bounds of two entries of one list, none of which a linked pair fails:
+    the sizes, the positions (at most ``min(at) + 1 + min(rest)`` shingles can
+    be shared) and the toggled bits (so many shingles differ at least)."""
     size, at = (F.col(f"{x}size"), F.col(f"{y}size")), (F.col(f"{x}at"), F.col(f"{y}at"))
     share = F.least(*at) + 1 + F.least(size[0] - at[0] - 1, size[1] - at[1] - 1)
-    return (F.least(*size) * 100 >= F.greatest(*size) * percent) & (share * (100 + percent) >= (size[0] + size[1]) * percent)
+    differ = sum(F.bit_count(F.col(f"{x}toggles")[i].bitwiseXOR(F.col(f"{y}toggles")[i])) for i in range(4))
+    return (
+        (F.least(*size) * 100 >= F.greatest(*size) * percent)
+        & (share * (100 + percent) >= (size[0] + size[1]) * percent)
+        & (differ * (100 + percent) <= (size[0] + size[1]) * (100 - percent))
+    )
 
 
 def verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -198,9 +211,9 @@ def pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
     block = lists.withColumn("block", F.floor(F.log(100 / percent, F.col("size"))))
     pivots = (
         block.groupBy("token", "block")
-        .agg(F.min(F.struct("set", "size", "at")).alias("p"), F.max("set").alias("most"))
+        .agg(F.min(F.struct("set", "size", "at", "toggles")).alias("p"), F.max("set").alias("most"))
         .filter("p.set < most")
-        .select("token", "block", F.col("p.set").alias("p_set"), F.col("p.size").alias("p_size"), F.col("p.at").alias("p_at"))
+        .select("token", "block", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("set", "size", "at", "toggles")))
     )
     return (
         block.join(pivots, ["token", "block"])
@@ -218,7 +231,7 @@ def other_pairs(lists: DataFrame, percent: int) -> DataFrame:
     common = of.groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("common"), F.count("*").alias("labels"))
     mixed = lists.join(common.filter("labels > 1").drop("labels"), "token").distinct()
     few = mixed.filter(F.col("label") != F.col("common")).select(
-        "token", *(F.col(c).alias(f"p_{c}") for c in ("set", "size", "at", "label"))
+        "token", *(F.col(c).alias(f"p_{c}") for c in ("set", "size", "at", "toggles", "label"))
     )
     differ = (F.col("label") != F.col("p_label")) & ((F.col("label") == F.col("common")) | (F.col("set") > F.col("p_set")))
     return (
@@ -236,12 +249,12 @@ def link_groups(spark: SparkSession, docs: DataFrame, shingle: int = 3, percent:
     small_batches(spark)
     described = write_stage(spark, describe(docs, shingle), "sets")
     rarity = levels(described)
-    sets = described.filter("piece is null").select("doc_id", "hash", "n_shingles", "key")
-    nodes = sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    sets = described.filter("piece is null").select("doc_id", "hash", "n_shingles", "key", "toggles")
+    nodes = sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("toggles").alias("toggles"))
     nodes = write_stage(spark, nodes.withColumn("set", F.xxhash64("key")), "nodes")
     index = write_stage(spark, entries(docs, rarity, shingle, percent), "entries")
     shared = index.groupBy("token").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).filter("lo < hi").select("token")
-    lists = write_stage(spark, index.join(shared, "token"), "lists")
+    lists = write_stage(spark, index.join(shared, "token").join(nodes.select("set", "toggles"), "set"), "lists")
 
     pairs = write_stage(spark, pivot_pairs(lists, percent), "pairs")
     links = verified(spark, docs, nodes, pairs, shingle, percent)
