@@ -153,7 +153,7 @@ class SkipChain:
     def __init__(self) -> None:
         self.weights: dict[str, np.ndarray] = {}
         self.chain = np.zeros((len(KINDS) + 1,) * 2)
-        self.skip = np.zeros((len(KINDS) + 1,) * 2)
+        self.skip = 3 * np.eye(len(KINDS) + 1)  # what is alike has one label, unless the rows say otherwise
 
     def fit(self, rows: list[tuple[list[str], int, int, int, int]], epochs: int = 200, rate: float = 0.5) -> None:
         """Pseudo-likelihood: each node given its features and the labels of
@@ -165,7 +165,7 @@ class SkipChain:
         feats = np.array([[names[f] for f in r[0]] for r in rows])
         y = np.array([r[1] for r in rows])
         near = [np.array([r[c] for r in rows]) for c in (2, 3, 4)]
-        w, chain, skip = np.zeros((len(names), k)), np.zeros((k, k)), np.zeros((k, k))
+        w, chain, skip = np.zeros((len(names), k)), np.zeros((k, k)), self.skip.copy()
         truth = np.eye(k)[y]
         grad2 = {key: np.full(a.shape, 1e-6) for key, a in (("w", w), ("c", chain), ("s", skip))}
         for _ in range(epochs):
@@ -174,7 +174,7 @@ class SkipChain:
                 z += np.where(idx[:, None] >= 0, table[idx], 0)
             p = np.exp(z - z.max(axis=1, keepdims=True))
             d = (p / p.sum(axis=1, keepdims=True) - truth) / n
-            gw, gc, gs = 1e-5 * w, 1e-5 * chain, 1e-5 * skip
+            gw, gc, gs = 1e-5 * w, 1e-5 * chain, 1e-4 * (skip - self.skip)
             np.add.at(gw, feats, np.repeat(d[:, None], feats.shape[1], axis=1))
             for idx, g in ((near[0], gc), (near[1], gc.T), (near[2], gs)):
                 on = idx >= 0
@@ -216,7 +216,7 @@ class SkipChain:
         p = np.exp(logs - logs.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
-    def added(self, text: str, base: list[Span], sure: float = 0.9) -> list[Span]:
+    def added(self, text: str, base: list[Span], sure: float = 0.7) -> list[Span]:
         """Runs of linked nodes outside base spans sure of one kind."""
         if not _SIGNAL.search(text):
             return []
@@ -255,6 +255,8 @@ def training_nodes(docs: DataFrame, rows: int, limit: int) -> list[tuple[list[st
                 for i, j in skip:
                     near[j, 2], near[i, 2] = found[i].label, found[j].label
                 for n, (x, y, z) in zip(found, near.tolist(), strict=True):
+                    if not n.label and z > 0:
+                        continue  # like a base span, but none: for the field to say
                     yield n.features, n.label, x, y, z
 
         yield from chunks(out(), arrow, 2000)

@@ -120,7 +120,7 @@ class Coder:
             x[need] = (x[need] << np.uint64(32)) | words[at : at + len(need)]
             at += len(need)
             state[: len(x)] = x
-        if zlib.crc32(ids.tobytes()) != crc:
+        if zlib.crc32(ids.tobytes()) != crc or k == parts - 1 and (state != LOWEST).any():
             raise ValueError("block part fails its checksum")
         return ids
 
