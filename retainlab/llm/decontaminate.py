@@ -70,12 +70,15 @@ def occurrences(spark: SparkSession, docs: DataFrame, wins: DataFrame) -> DataFr
     ``found``: array of (start from 0, win, n)."""
     doc = docs.select("doc_id", F.xxhash64("text").alias("hash"), words(F.col("text")).alias("w"))
     tokens = wins.filter(F.size("words") > 1).select(F.explode(pairs(F.col("words"))).alias("token")).distinct()
+    tokens = write_stage(spark, tokens, "tokens")
     met = doc.select(F.explode(pairs(F.col("w"))).alias("token")).join(tokens, "token")
     counts = write_stage(spark, met.groupBy("token").agg(F.count("*").alias("n")), "counts")
     prefix = write_stage(spark, prefixes(wins, counts), "prefixes")
+    sought = write_stage(spark, prefix.select("token").distinct(), "sought")  # numbers only: the planner may broadcast them
     size = F.size("w").alias("size")
     by_pair = (
         doc.select("doc_id", "hash", size, F.posexplode(pairs(F.col("w"))).alias("p", "token"))
+        .join(sought, "token")
         .join(prefix, "token")
         .select("doc_id", "hash", "size", (F.col("p") - F.col("at")).alias("start"), "win", "words")
         .filter((F.col("start") >= 0) & (F.col("start") + F.size("words") <= F.col("size")))
