@@ -85,6 +85,7 @@ def occurrences(spark: SparkSession, docs: DataFrame, wins: DataFrame) -> DataFr
         .drop("size")
     )
     single = wins.filter(F.size("words") == 1).select(F.element_at("words", 1).alias("word"), "win", "words")
+    single = write_stage(spark, single, "single")
     by_word = (
         doc.select("doc_id", "hash", F.posexplode("w").alias("start", "word"))
         .join(single, "word")
