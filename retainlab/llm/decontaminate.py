@@ -94,13 +94,14 @@ def occurrences(spark: SparkSession, docs: DataFrame, wins: DataFrame) -> DataFr
     tried = by_pair.unionByName(by_word).groupBy("doc_id", "hash").agg(F.collect_set(F.struct("start", "win", "words")).alias("tried"))
     same = (F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))) & (F.col("d.hash") == F.col("t.hash"))
     checked = (
-        docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).distinct().alias("d")
+        docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).alias("d")
         .join(tried.alias("t"), same)
         .select("d.doc_id", "d.hash", words(F.col("d.text")).alias("w"), "tried")
     )
     right = F.filter("tried", lambda t: F.slice(F.col("w"), t["start"] + 1, F.size(t["words"])) == t["words"])
     found = F.transform(right, lambda t: F.struct(t["start"].alias("start"), t["win"].alias("win"), F.size(t["words"]).alias("n")))
-    return checked.select("doc_id", "hash", found.alias("found")).filter(F.size("found") > 0)
+    rows = checked.select("doc_id", "hash", found.alias("found")).filter(F.size("found") > 0)
+    return rows.dropDuplicates(["doc_id", "hash"])  # repeated documents
 
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
