@@ -94,17 +94,23 @@ def tie_groups(scores: DataFrame, group: str = "model") -> DataFrame:
     )
 
 
+def _area2() -> Column:
+    """Twice the area of a tie group in pair counts; decimal, since products
+    of two counts pass 64 bits at a few billion rows a class."""
+    return F.col("neg").cast("decimal(19,0)") * (F.col("cum_pos") * 2 - F.col("pos")).cast("decimal(19,0)")
+
+
 def roc_auc(scores: DataFrame, group: str = "model") -> DataFrame:
     """Trapezoid area with ties (Mann-Whitney), exact in integer arithmetic:
     AUC = sum(neg_i * (2 cum_pos_i - pos_i)) / (2 P N)."""
     t = tie_groups(scores, group)
     a = t.groupBy(group).agg(
-        F.sum(F.col("neg") * (F.col("cum_pos") * 2 - F.col("pos"))).alias("_num"),
+        F.sum(_area2()).alias("_num"),
         F.sum("pos").alias("_p"),
         F.sum("neg").alias("_n"),
     )
     den = F.col("_p").cast("double") * F.col("_n").cast("double") * 2.0
-    return a.select(group, F.when(den > 0, F.round(F.col("_num") / den, 6)).alias("roc_auc"))
+    return a.select(group, F.when(den > 0, F.round(F.col("_num").cast("double") / den, 6)).alias("roc_auc"))
 
 
 def average_precision(scores: DataFrame, group: str = "model") -> DataFrame:
@@ -122,7 +128,7 @@ def curve_stats(scores: DataFrame, group: str = "model") -> DataFrame:
     t = tie_groups(scores, group)
     prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     a = t.groupBy(group).agg(
-        F.sum(F.col("neg") * (F.col("cum_pos") * 2 - F.col("pos"))).alias("_num"),
+        F.sum(_area2()).alias("_num"),
         F.sum(F.col("pos") * prec).alias("_apn"),
         F.sum("pos").alias("_p"),
         F.sum("neg").alias("_n"),
@@ -130,7 +136,7 @@ def curve_stats(scores: DataFrame, group: str = "model") -> DataFrame:
     den = F.col("_p").cast("double") * F.col("_n").cast("double") * 2.0
     return a.select(
         group,
-        F.when(den > 0, F.round(F.col("_num") / den, 6)).alias("roc_auc"),
+        F.when(den > 0, F.round(F.col("_num").cast("double") / den, 6)).alias("roc_auc"),
         F.when(F.col("_p") > 0, F.round(F.col("_apn") / F.col("_p"), 6)).alias("pr_auc"),
     )
 

@@ -108,7 +108,7 @@ def make_estimator(name: str, n_train: int, scale_pos_weight: float = 1.0, seed:
                                       featureSubsetStrategy="all", subsamplingRate=0.8, numTrees=q["numTrees"],
                                       maxDepth=q["maxDepth"], seed=seed)
     if name == "forest_nobootstrap":
-        return RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, bootstrap=False,
+        return RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, bootstrap=False,
                                       featureSubsetStrategy="sqrt", numTrees=q["numTrees"], maxDepth=10,
                                       maxBins=16, seed=seed)
     raise ValueError(name)

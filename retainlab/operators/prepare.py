@@ -11,6 +11,7 @@ model saves and loads with MLlib's own writers.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
@@ -50,14 +51,20 @@ def melt(df: DataFrame, cols: list[str], id_cols=(C.ID_COL,), cast: str | None =
 def stratified_exact_split(df: DataFrame, hash_col: str, key: str, label: str = "y_true",
                            train: float = 0.7, val: float = 0.1) -> DataFrame:
     """Exact per-class proportions: rank inside each class by hash (K1, the
-    class is never one task), then cut at floor shares of the class size."""
+    class is never one task), then cut at the exact shares of the class size;
+    ``val`` may be 0, and ``test`` is what the two leave (more than nothing)."""
+    a, b = Fraction(str(train)), Fraction(str(train)) + Fraction(str(val))
+    if not 0 < a <= b < 1:
+        raise ValueError(f"train {train} and val {val} leave no proper split")
     j = prefix_sums(df, [F.col(hash_col).asc(), F.col(key).asc()], group=[label], rank_col="_r",
                     total_col="_n")
-    r0 = (F.col("_r") - 1) * 10
-    tr, va = int(round(train * 10)), int(round((train + val) * 10))
+
+    def before(share: Fraction) -> Column:
+        return (F.col("_r") - 1) * share.denominator < F.col("_n") * share.numerator
+
     return j.withColumn(
         "split",
-        F.when(r0 < F.col("_n") * tr, "train").when(r0 < F.col("_n") * va, "val").otherwise("test"),
+        F.when(before(a), "train").when(before(b), "val").otherwise("test"),
     ).drop("_r", "_n")
 
 

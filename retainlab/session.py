@@ -15,7 +15,6 @@ import tempfile
 from pyspark.sql import SparkSession
 
 _DEFAULTS = {
-    "spark.sql.shuffle.partitions": "8",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -23,7 +22,6 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    "spark.driver.memory": "16g",
 }
 
 
@@ -32,7 +30,10 @@ def get_session(master: str | None = None, app: str = "retainlab", **conf) -> Sp
     if active is not None:
         return active
     builder = SparkSession.builder.appName(app)
-    builder = builder.master(master or os.environ.get("SPARK_MASTER", "local[8]"))
+    master = master or os.environ.get("SPARK_MASTER", "local[8]")
+    builder = builder.master(master)
+    if master.startswith("local"):  # one JVM holds driver and executor
+        builder = builder.config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
     for key, value in {**_DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -53,6 +54,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - not readable as a session conf
             configured = None
     if not configured:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         # local runs and tests only: a fresh scratch folder of this process
         configured = tempfile.mkdtemp(prefix="retainlab-ckpt-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(configured)

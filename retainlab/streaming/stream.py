@@ -23,11 +23,16 @@ from retainlab.sources.tables import table_path
 
 
 def event_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
-    schema = spark.read.parquet(table_path(sf_dir, "events")).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    """The events table as a stream, be it a folder of parts or one file."""
+    table = table_path(sf_dir, "events")
+    reader = spark.readStream.schema(spark.read.parquet(table).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    s = reader.parquet(sf_dir)
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        s = reader.parquet(table)
+    else:
+        s = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
