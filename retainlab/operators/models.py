@@ -51,26 +51,17 @@ REFERENCE_PRESETS = {
 }
 # small presets used by the registered queries
 QUICK = {
-    "random_forest": {"numTrees": 20},
+    "random_forest": {"numTrees": 300},
     "gradient_boosting": {"maxIter": 20, "stepSize": 0.1},
     "boosting_depth5": {"maxIter": 15},
     "boosting_depth4": {"maxIter": 15, "stepSize": 0.1},
     "bagging": {"numTrees": 15, "maxDepth": 12},
     "forest_nobootstrap": {"numTrees": 20},
     "adaboost": {"rounds": 8},
-    "mlp": {"maxIter": 40},
+    "mlp": {"maxIter": 500},
 }
 
 
-def right_size(df: DataFrame, n_rows: int, row_bytes: int, target_bytes: int = 128 << 20) -> DataFrame:
-    """Fewer partitions for iterative fits when the data is small: each
-    optimiser iteration is one job, so tiny tasks cost more than they compute.
-    The partition count follows rows x row width (~128 MB per partition)."""
-    want = max(1, math.ceil(n_rows * row_bytes / target_bytes))
-    have = df.rdd.getNumPartitions()
-    return df.coalesce(want) if want < have else df
-
-
 def labelled(df: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """label (double) and balanced class weight columns."""
     out = df.withColumn(LABEL, F.col("y_true").cast("double"))

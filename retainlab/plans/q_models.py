@@ -30,7 +30,7 @@ def _data(spark: SparkSession, sf_dir: str):
     train = v.filter(F.col("split") == "train")
     n = train.count()
     d = len(prep.names)
-    train = MD.right_size(train, n, 8 * d + 64).persist()
+    train = train.persist()
     return v, train, n, d
 
 
@@ -100,7 +100,7 @@ def q_fit_calibrated_stacking(spark, sf_dir):
 def q_tune_random_search(spark, sf_dir):
     v, train, n, d = _data(spark, sf_dir)
     trval = v.filter(F.col("split").isin("train", "val"))
-    trval = MD.right_size(trval, trval.count(), 8 * d + 64).persist()
+    trval = trval.persist()
     _, rows = MD.random_search(trval, trials=4, folds=3, parallelism=4)
     return spark.createDataFrame(rows, "trial int, reg_param double, elastic_net double, max_iter int, f1 double")
 
