@@ -136,7 +136,8 @@ def fingerprints(spark: SparkSession, docs: DataFrame, parts: int | None = None)
         yield from chunks(out(), schema, 1000)
 
     ddl = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    dealt = ranges(docs, parts).repartition(parts, "part").sortWithinPartitions("part", "last", "key", "text")
+    # four ranges a task: chance puts several of them into one
+    dealt = ranges(docs, 4 * parts).repartition(parts, "part").sortWithinPartitions("part", "last", "key", "text")
     return dealt.select("part", "last", "doc_id", "text").mapInArrow(run, ddl)
 
 
