@@ -328,3 +328,27 @@ def test_language(spark, odd, empty):
     assert by[None] == by[""] == by["!!! ###"] == ("und", 0.0)
     assert language.fit_language_model(empty, F.lit(True)) is None
     assert language.predict_language(spark, empty, None).count() == 0
+
+
+def test_simhashes():
+    """Part and whole hashes against counting bit by bit; halves and quarters
+    at the bounds of line lengths; spans of more than 255 words."""
+    rnd = random.Random(3)
+    found = [b" ".join(b"w%d" % rnd.randint(0, 400) for _ in range(n)) for n in (5, 9, 15, 16, 18, 19, 40, 3000) for _ in range(4)]
+    marks, whole = lines.simhashes(found)
+
+    def bits(words):
+        codes = {int(lines.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) >> 24 for w in words}
+        mixed = lines.mix64(np.array(sorted(codes), np.uint64)).tolist()
+        return [sum(x >> (63 - b) & 1 for x in mixed) for b in range(64)], len(mixed)
+
+    def sign(ones, total):
+        value = sum((2 * ones[b] > total) << (63 - b) for b in range(64))
+        return value - (1 << 64) if value >> 63 else value
+
+    for line, got, mark in zip(found, marks, whole, strict=True):
+        words = line.split()
+        cuts = [2] if len(words) < lines.QUARTERED else [4, 2] if len(words) < lines.BOTH else [4]
+        parts = [bits([w for j, w in enumerate(words) if k * j // len(words) == i]) for k in cuts for i in range(k)]
+        assert got == [sign(*p) for p in parts]
+        assert mark == sign([sum(p[0][b] for p in parts) for b in range(64)], sum(p[1] for p in parts))
