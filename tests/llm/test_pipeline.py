@@ -54,6 +54,20 @@ def test_stages(spark):
     assert {r["doc_id"] for r in packed.collect()} == set(kept["decontaminate"])
 
 
+def test_near_copies_by_five_words(spark):
+    """One of 50 words replaced: five-word Jaccard 41 / 51, three-word 45 / 51."""
+    words = [f"w{i}" for i in range(50)]
+    far = [*words[:10], "x", *words[11:30], "y", *words[31:]]
+    texts = [words, [*words[:25], "x", *words[26:]], far, ["other", *words[:9]]]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = [set(jaccard.shingle_set(" ".join(t), 5).tolist()) for t in texts]
+    alike = [[100 * len(x & y) >= 80 * len(x | y) for y in sets] for x in sets]
+    assert alike[0] == [True, True, False, False]
+    threes = [set(jaccard.shingle_set(" ".join(t)).tolist()) for t in texts]
+    assert 100 * len(threes[0] & threes[1]) < 90 * len(threes[0] | threes[1])
+    assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, SMALL).collect()} == {0, 2, 3}
+
+
 def test_stages_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
