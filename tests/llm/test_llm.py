@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from retainlab.llm import decontaminate, html_blocks, jaccard, language, lines, packing, personal, phrases, quality, rans
 from retainlab.llm.groups import components
 from retainlab.llm.tokens import Encoder, encoder
@@ -352,3 +353,78 @@ def test_simhashes():
         parts = [bits([w for j, w in enumerate(words) if k * j // len(words) == i]) for k in cuts for i in range(k)]
         assert got == [sign(*p) for p in parts]
         assert mark == sign([sum(p[0][b] for p in parts) for b in range(64)], sum(p[1] for p in parts))
+
+
+def spread_lines() -> list[str]:
+    """Lines of many lengths and copies of them with edits spread evenly, up to
+    a fifth of the words and one more."""
+    rnd = random.Random(12)
+    out = []
+    for n in (5, 6, 9, 10, 12, 15, 15, 20, 25, 33, 40, 40, 61, 80, 80, 120):
+        base = [f"{rnd.choice('the of and a in'.split())}" if rnd.random() < 0.3 else f"w{rnd.choice('abcdefgh')}{rnd.choice('klmnop')}{rnd.choice('qrstuv')}" for _ in range(n)]
+        out.append(" ".join(base))
+        for edits in sorted({1, n // 10, n // 5, n // 5 + 1}):
+            for kind in ("replace", "delete", "add"):
+                line = [*base]
+                for k in reversed(range(edits)):
+                    at = (2 * k + 1) * n // (2 * edits)
+                    line[at : at + (kind != "add")] = [] if kind == "delete" else [f"new{rnd.choice('abcdefghij')}{rnd.choice('abcdefghij')}"]
+                out.append(" ".join(line))
+    rnd.shuffle(out)
+    return out
+
+
+def first_of_groups(texts: list[str]) -> set[int]:
+    """Numbers of the lines that stay, by all pairs."""
+    words = [t.split() for t in texts]
+
+    def linked(x, y):
+        most = max(len(x), len(y))
+        if min(len(x), len(y)) < 5 or min(len(x), len(y)) * 100 < 80 * most:
+            return x == y and bool(x)
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x):
+            then = [i + 1]
+            for j, b in enumerate(y):
+                then.append(min(then[-1] + 1, row[j + 1] + 1, row[j] + (a != b)))
+            row = then
+        return (most - row[-1]) * 100 >= 80 * most
+
+    label = list(range(len(words)))
+    for i, x in enumerate(words):
+        for j in range(i):
+            if label[i] != label[j] and linked(x, words[j]):
+                label = [min(label[i], label[j]) if k in (label[i], label[j]) else k for k in label]
+    return set(label)
+
+
+def groups_table(spark, tmp_path, texts):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    return docs
+
+
+def test_lines_all_pairs(spark, tmp_path):
+    """op3_lines and the line stage against edit similarity of all pairs."""
+    texts = spread_lines()
+    stay = first_of_groups(texts)
+    assert 16 < len(stay) < len(texts) / 2
+    docs = groups_table(spark, tmp_path, texts)
+    got = {r["doc_id"] for r in lines.op3_lines(spark, str(tmp_path)).collect() if r["n_removed"] == 0}
+    assert got == stay
+    kept = corpus_pipeline.line_dedup(spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in kept.collect()} == stay
+
+
+def test_span_bounds():
+    """No alike pair of lines fails the count of shared spans or the bits."""
+    found = [t.encode() for t in spread_lines()]
+    for size in (1, 2):
+        h, of, n, bits = lines.line_spans(found, size)
+        sets = [set(h[of == i].tolist()) for i in range(len(found))]
+        assert [len(s) for s in sets] == [len(t.split()) - size + 1 for t in found] and n.tolist() == [len(t.split()) for t in found]
+        for i, x in enumerate(found):
+            for j in range(i):
+                if lines.alike(x, found[j], 80):
+                    assert len(sets[i] & sets[j]) >= max(lines.least_shared(k, size, 80) for k in (n[i], n[j]))
+                    assert sum(int(b & (1 << 64) - 1).bit_count() for b in (bits[i] ^ bits[j]).tolist()) <= 2 * (max(n[i], n[j]) // 5)
