@@ -428,3 +428,13 @@ def test_span_bounds():
                 if lines.alike(x, found[j], 80):
                     assert len(sets[i] & sets[j]) >= max(lines.least_shared(k, size, 80) for k in (n[i], n[j]))
                     assert sum(int(b & (1 << 64) - 1).bit_count() for b in (bits[i] ^ bits[j]).tolist()) <= 2 * (max(n[i], n[j]) // 5)
+
+
+def test_short_and_unspaced_lines(spark, tmp_path):
+    """Equal short lines go in op3_lines; in scripts without spaces a line is
+    as long as its characters."""
+    long = "这是一个没有空格的很长的句子用来测试重复的行"
+    texts = ["Menu\n" + long, "menu!\n" + long.replace("测", "检"), "...\n\nMenu bar", "...\n\n" + long[:4]]
+    groups_table(spark, tmp_path, texts)
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in lines.op3_lines(spark, str(tmp_path)).collect()}
+    assert got == {0: (0, texts[0]), 1: (2, ""), 2: (0, texts[2]), 3: (0, texts[3])}
