@@ -2,8 +2,8 @@
 
 Every fit is an MLlib estimator (distributed) or a short driver loop whose
 steps are distributed jobs (AdaBoost rounds, stacking folds, tuning trials).
-Presets are small for the query run; ``REFERENCE_PRESETS`` holds the
-modelled settings. Iterative loops cut lineage with ``checkpoint()`` into the
+``REFERENCE_PRESETS`` holds the modelled settings, the default of
+the fits; callers may give others. Iterative loops cut lineage with ``checkpoint()`` into the
 session's shared checkpoint folder.
 """
 
@@ -35,31 +35,20 @@ from retainlab.session import checkpoint_dir
 
 FEATURES, LABEL, WEIGHT = "features", "label", "weight"
 
-# --- fixed values: modelled settings (for a full run) -----------------------
+# --- fixed values: modelled settings; depth 30 is the most MLlib takes ------
 REFERENCE_PRESETS = {
     "logistic_regression": {"C": 1.0},
     "random_forest": {"numTrees": 300, "maxDepth": 8, "minInstancesPerNode": 5, "subsamplingRate": 0.8},
     "gradient_boosting": {"maxIter": 300, "stepSize": 0.03, "maxDepth": 3, "subsamplingRate": 0.8,
                           "minInstancesPerNode": 10},
-    "boosting_depth5": {"maxIter": 500, "maxDepth": 5},
+    "boosting_depth5": {"maxIter": 500, "stepSize": 0.05, "maxDepth": 5},
     "boosting_depth4": {"maxIter": 800, "stepSize": 0.05, "maxDepth": 4},
-    "bagging": {"numTrees": 300, "subsamplingRate": 0.8},
-    "forest_nobootstrap": {"numTrees": 800},
+    "bagging": {"numTrees": 300, "subsamplingRate": 0.8, "maxDepth": 30},
+    "forest_nobootstrap": {"numTrees": 800, "maxDepth": 30},
     "adaboost": {"rounds": 300, "learning_rate": 0.5, "maxDepth": 3},
-    "mlp": {"layers": (64, 32)},
+    "mlp": {"layers": (64, 32), "maxIter": 500},
     "knn": {"k": 15},
 }
-# small presets used by the registered queries
-QUICK = {
-    "random_forest": {"numTrees": 300},
-    "gradient_boosting": {"maxIter": 20, "stepSize": 0.1},
-    "boosting_depth5": {"maxIter": 15},
-    "boosting_depth4": {"maxIter": 15, "stepSize": 0.1},
-    "bagging": {"numTrees": 15, "maxDepth": 12},
-    "forest_nobootstrap": {"numTrees": 20},
-    "adaboost": {"rounds": 8},
-    "mlp": {"maxIter": 500},
-}
 
 
 def labelled(df: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -74,12 +63,13 @@ def prob1(df: DataFrame, col: str = "probability") -> DataFrame:
     return df.withColumn("score", vector_to_array(col)[1])
 
 
-def make_estimator(name: str, n_train: int, scale_pos_weight: float = 1.0, seed: int = 42):
-    q = QUICK.get(name, {})
+def make_estimator(name: str, n_train: int, scale_pos_weight: float = 1.0, seed: int = 42,
+                   presets: dict = REFERENCE_PRESETS):
+    q = presets[name]
     if name == "logistic_regression":
         # C = 1 on the summed loss == regParam 1/(C n) on MLlib's mean loss
         return LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT,
-                                  regParam=1.0 / (REFERENCE_PRESETS[name]["C"] * n_train),
+                                  regParam=1.0 / (q["C"] * n_train),
                                   elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-4)
     if name == "random_forest":
         return RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, maxDepth=8,
@@ -90,7 +80,7 @@ def make_estimator(name: str, n_train: int, scale_pos_weight: float = 1.0, seed:
                              minInstancesPerNode=10, maxIter=q["maxIter"], stepSize=q["stepSize"], seed=seed)
     if name == "boosting_depth5":
         return GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, maxDepth=5,
-                             maxIter=q["maxIter"], seed=seed)
+                             maxIter=q["maxIter"], stepSize=q["stepSize"], seed=seed)
     if name == "boosting_depth4":
         return GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol="pos_weight", maxDepth=4,
                              maxIter=q["maxIter"], stepSize=q["stepSize"], seed=seed)
@@ -100,24 +90,26 @@ def make_estimator(name: str, n_train: int, scale_pos_weight: float = 1.0, seed:
                                       maxDepth=q["maxDepth"], seed=seed)
     if name == "forest_nobootstrap":
         return RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, bootstrap=False,
-                                      featureSubsetStrategy="sqrt", numTrees=q["numTrees"], maxDepth=10,
+                                      featureSubsetStrategy="sqrt", numTrees=q["numTrees"], maxDepth=q["maxDepth"],
                                       maxBins=16, seed=seed)
     raise ValueError(name)
 
 
-def fit_score(name: str, train: DataFrame, score_on: DataFrame, n_train: int, n_features: int) -> DataFrame:
+def fit_score(name: str, train: DataFrame, score_on: DataFrame, n_train: int, n_features: int,
+              presets: dict = REFERENCE_PRESETS) -> DataFrame:
     """Fit one estimator and return score_on with a ``score`` column."""
     if name == "mlp":
         est = MultilayerPerceptronClassifier(featuresCol=FEATURES, labelCol=LABEL,
-                                             layers=[n_features, 64, 32, 2], maxIter=QUICK["mlp"]["maxIter"], seed=42)
+                                             layers=[n_features, *presets["mlp"]["layers"], 2],
+                                             maxIter=presets["mlp"]["maxIter"], seed=42)
     else:
-        est = make_estimator(name, n_train)
+        est = make_estimator(name, n_train, presets=presets)
     model = est.fit(train)
     return prob1(model.transform(score_on))
 
 
 # ------------------------------------------------------------ M8 AdaBoost
-def adaboost(train: DataFrame, score_on: DataFrame, rounds: int = 8, learning_rate: float = 0.5,
+def adaboost(train: DataFrame, score_on: DataFrame, rounds: int = 300, learning_rate: float = 0.5,
              max_depth: int = 3, checkpoint_every: int = 3) -> DataFrame:
     """Binary SAMME. Each round is one weighted tree fit plus one aggregate;
     the weight update is an expression. score = sigmoid(decision) with
@@ -149,14 +141,13 @@ def adaboost(train: DataFrame, score_on: DataFrame, rounds: int = 8, learning_ra
         if (t + 1) % checkpoint_every == 0:
             data = data.checkpoint()
     total = sum(alphas) or 1.0
-    dec = F.lit(0.0)
-    out = score_on
+    out = score_on.withColumn("_dec", F.lit(0.0))
     for i, (m, a) in enumerate(zip(trees, alphas)):
-        out = m.setPredictionCol(f"_p{i}").setRawPredictionCol(f"_r{i}").setProbabilityCol(f"_q{i}").transform(out)
-        dec = dec + F.lit(a) * (F.col(f"_p{i}") * 2 - 1)
-        out = out.drop(f"_r{i}", f"_q{i}")
-    out = out.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-(dec / F.lit(total)))))
-    return out.drop(*[f"_p{i}" for i in range(len(trees))])
+        out = m.setPredictionCol("_p").setRawPredictionCol("_r").setProbabilityCol("_q").transform(out)
+        out = out.withColumn("_dec", F.col("_dec") + F.lit(a) * (F.col("_p") * 2 - 1)).drop("_p", "_r", "_q")
+        if (i + 1) % 20 == 0:
+            out = out.checkpoint()
+    return out.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("_dec") / F.lit(total))))).drop("_dec")
 
 
 # -------------------------------------------------------- M9 kernel SVM

@@ -57,7 +57,7 @@ for _name in ("logistic_regression", "random_forest", "gradient_boosting", "boos
 @query("fit_adaboost")
 def q_fit_adaboost(spark, sf_dir):
     v, train, n, d = _data(spark, sf_dir)
-    return _out(MD.adaboost(train, v, rounds=MD.QUICK["adaboost"]["rounds"]))
+    return _out(MD.adaboost(train, v, rounds=MD.REFERENCE_PRESETS["adaboost"]["rounds"]))
 
 
 @query("fit_svm_rff")

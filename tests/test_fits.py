@@ -17,3 +17,23 @@ def test_fit(spark, name):
     n = got.count()
     assert n and got.filter(F.col(score).between(0, 1)).count() == n
     assert got.groupBy(got.columns[0]).count().filter("count > 1").count() == 0
+
+
+def test_fits_use_the_modelled_settings(spark):
+    from retainlab.operators import models as MD
+
+    for name, preset in MD.REFERENCE_PRESETS.items():
+        if name not in ("logistic_regression", "adaboost", "mlp", "knn"):
+            est = MD.make_estimator(name, 100)
+            assert {k: est.getOrDefault(k) for k in preset} == preset
+
+
+def test_adaboost_scores_over_many_trees(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from retainlab.operators import models as MD
+
+    rows = [(i, Vectors.dense([i % 7, i % 5]), float((i * i + i % 3) % 2), 1.0) for i in range(60)]
+    df = spark.createDataFrame(rows, ["k", "features", "label", "weight"]).repartition(1).cache()
+    got = MD.adaboost(df, df, rounds=22, max_depth=1)
+    assert got.columns == [*df.columns, "score"] and got.filter(F.col("score").between(0, 1)).count() == 60
