@@ -166,12 +166,10 @@ def may_link(x: str, y: str, percent: int) -> Column:
 def verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``: set numbers) whose sets link, by their digests."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    texts = (
-        docs.select("doc_id", "text")
-        .join(nodes.join(wanted, "set").select("set", "doc_id", "key"), "doc_id")
-        .select("set", "key", "text")
-    )
-    texts = write_stage(spark, texts, "texts")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("d.hash") == F.col("n.hash"))
+    found = keyed.join(nodes.join(wanted, "set").alias("n"), same).select("n.set", "n.key", "d.text")
+    texts = write_stage(spark, found.dropDuplicates(["set"]), "texts")  # repeated documents
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +248,10 @@ def link_groups(spark: SparkSession, docs: DataFrame, shingle: int = 3, percent:
     described = write_stage(spark, describe(docs, shingle), "sets")
     rarity = levels(described)
     sets = described.filter("piece is null").select("doc_id", "hash", "n_shingles", "key", "toggles")
-    nodes = sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("toggles").alias("toggles"))
+    nodes = sets.filter("key is not null").groupBy("key").agg(
+        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "hash")).alias("place"), F.first("toggles").alias("toggles")
+    )
+    nodes = nodes.select("key", "least", "place.doc_id", "place.hash", "toggles")
     nodes = write_stage(spark, nodes.withColumn("set", F.xxhash64("key")), "nodes")
     index = write_stage(spark, entries(docs, rarity, shingle, percent), "entries")
     shared = index.groupBy("token").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).filter("lo < hi").select("token")
@@ -267,7 +268,7 @@ def link_groups(spark: SparkSession, docs: DataFrame, shingle: int = 3, percent:
     found = components(spark, links.unionByName(more))
 
     grouped = nodes.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    least = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
     by_key = grouped.select("key", "label").join(least, "label").select("key", "label", "component_id")
     return sets.join(by_key, "key", "left").select(
         "doc_id", "hash", "n_shingles", "label", F.coalesce("component_id", "doc_id").alias("component_id")

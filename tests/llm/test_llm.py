@@ -166,6 +166,14 @@ def test_jaccard(spark, odd, empty):
     assert jaccard.link_groups(spark, empty).count() == 0
 
 
+def test_jaccard_without_ids(spark):
+    """Near copies all of whose documents have a null id are one component."""
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words), " ".join([*words, "more"]), "another text of its own"]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    assert jaccard.link_groups(spark, docs).select("label").distinct().count() == 2
+
+
 def test_toggle_bound():
     rnd = random.Random(2)
     for _ in range(200):
