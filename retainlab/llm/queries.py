@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .centroids import OP11_SQL, op11_centroids
 from .decontaminate import OP2_SQL, op2_decontaminate
 from .html_blocks import op5_html
 from .jaccard import op8_jaccard
@@ -16,6 +17,7 @@ from .personal import op6_personal
 from .phrases import op4_phrases
 from .quality import op9_quality
 from .rans import op1_rans
+from .whitening import op12_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -30,7 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_jaccard,
         op9_quality,
         op10_language,
+        op11_centroids,
+        op12_whitening,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op11_centroids": OP11_SQL}
