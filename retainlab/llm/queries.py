@@ -12,6 +12,7 @@ from .html_blocks import op5_html
 from .jaccard import op8_jaccard
 from .language import op10_language
 from .lines import op3_lines
+from .mixing import op13_mixing
 from .packing import op7_packing
 from .personal import op6_personal
 from .phrases import op4_phrases
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_language,
         op11_centroids,
         op12_whitening,
+        op13_mixing,
     )
 }
 

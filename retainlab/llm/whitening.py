@@ -23,8 +23,8 @@ Rows whose vector is null or holds null or non-finite components are left out.
 another length have no coordinates in that space and are left out too. Repeated
 rows count, and come out, as often as they occur. Components without variance
 cannot be whitened: fewer than 32 come out if the covariance has a lower rank,
-none for a single row or an empty table. A deviation beyond 64 bits is an
-error. Other columns are not read.
+none for a single row or an empty table. A deviation beyond 64 bits and a
+component beyond 2**21 are errors. Other columns are not read.
 """
 
 from __future__ import annotations
