@@ -193,20 +193,17 @@ def words_taken(mixed: DataFrame) -> DataFrame:
 
 def mixed_texts(docs: DataFrame, mixed: DataFrame, seed: int = 42) -> DataFrame:
     """The mix itself: (doc_id, source, text), a row per whole pass and per
-    span. Documents meet their spans by id and hash; repeated rows, which have
-    one place each, are numbered within their id and hash."""
-    nth = F.row_number().over(Window.partitionBy("doc_id", "hash").orderBy("source"))
-    texts = docs.select("doc_id", "source", "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("hash")).withColumn("nth", nth)
-    own = mixed.filter((F.col("passes") > 0) | (F.size("spans") > 0)).select("doc_id", "source", "hash", "passes", "spans")
-    own = own.withColumn("nth", nth)
-    on = F.col("t.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("t.hash") == F.col("m.hash")) & (F.col("t.nth") == F.col("m.nth"))
-    both = texts.alias("t").join(own.alias("m"), on).select("t.doc_id", "t.source", "t.text", "m.passes", "m.spans")
-    word_list = F.regexp_extract_all("text", F.lit(f"({WORD})"))
+    span of every document with words. Repeated rows share one text, held once
+    by id and hash."""
+    texts = docs.select("doc_id", "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("hash")).dropDuplicates(["doc_id", "hash"])
+    taken = mixed.filter((F.col("size") > 0) & ((F.col("passes") > 0) | (F.size("spans") > 0)))
+    both = taken.alias("m").join(texts.alias("t"), F.col("t.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("t.hash") == F.col("m.hash")))
     pieces = F.concat(
         F.array_repeat("text", F.col("passes")),
         F.transform("spans", lambda s: F.array_join(F.slice("words", (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")), " ")),
     )
-    return both.withColumn("words", word_list).select("doc_id", "source", F.explode(pieces).alias("text"))
+    out = both.select("m.doc_id", "m.source", "t.text", "m.passes", "m.spans")
+    return out.withColumn("words", F.regexp_extract_all("text", F.lit(f"({WORD})"))).select("doc_id", "source", F.explode(pieces).alias("text"))
 
 
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
