@@ -1,94 +1,25 @@
 """Neighbour operators: K2 exact k-nearest-neighbour join, kNN vote (M11),
 local competence (N3), KNORA-E (N4), KNORA-U (N5), META-DES (N6).
 
-K2 is a blocked nested-loop join. Reference rows are hashed into blocks of
-at most ``block_size`` vectors and query rows into chunks of the same size;
-every (chunk, block) pair is one row holding two bounded arrays, and a
-``mapInPandas`` task computes that distance matrix with numpy and emits only
-the k best (distance, id) per query. A ``row_number`` window per query then
-merges the per-block winners (Spark inserts a WindowGroupLimit before the
-shuffle). Exact: the order (distance, id) is total, so the global top k is
-inside the union of the per-block top k. Work is |Q| x |R| distance
-evaluations, as for any exact search in high dimension; rows moved are
-O((|Q| + |R|) x blocks) and rows emitted O(|Q| x k x blocks). Nothing is
-broadcast, nothing is sampled.
-
-Distances sum squared differences in dimension order in double precision,
-so they equal a sequential SQL sum bit for bit.
+K2 is the metric-partition join of ``metric_join``.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NB_SCHEMA = "qid long, rid long, dist double"
-
-
-def _block_topk(k: int):
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for qids, qvs, rids, rvs in zip(pdf["qids"], pdf["qvs"], pdf["rids"], pdf["rvs"]):
-                if len(qids) == 0 or len(rids) == 0:
-                    continue
-                qm = np.asarray([np.asarray(v, dtype=np.float64) for v in qvs])
-                rm = np.asarray([np.asarray(v, dtype=np.float64) for v in rvs])
-                rid = np.asarray(rids, dtype=np.int64)
-                order = np.argsort(rid, kind="stable")
-                rid, rm = rid[order], rm[order]
-                acc = np.zeros((qm.shape[0], rm.shape[0]))
-                for i in range(qm.shape[1]):  # sequential over dimensions, exact per element
-                    d = qm[:, i, None] - rm[None, :, i]
-                    acc += d * d
-                dist = np.sqrt(acc)
-                kk = min(k, rm.shape[0])
-                best = np.argsort(dist, axis=1, kind="stable")[:, :kk]  # ties keep id order
-                rows = np.repeat(np.asarray(qids, dtype=np.int64), kk)
-                out.append(pd.DataFrame({
-                    "qid": rows,
-                    "rid": rid[best].ravel(),
-                    "dist": np.take_along_axis(dist, best, axis=1).ravel(),
-                }))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-    return run
+from retainlab.operators.metric_join import metric_knn
 
 
 def knn_join(queries: DataFrame, refs: DataFrame, k: int, qid: str = "vec_id", rid: str = "vec_id",
-             vec: str = "embedding", block_size: int = 2048, exclude_self: bool = False) -> DataFrame:
-    """(qid, rid, rank, dist): the k nearest references of every query,
+             vec: str = "embedding", pivots: int = 64, group_rows: int = 8192, exclude_self: bool = False) -> DataFrame:
+    """(qid, rid, dist, rank): the k nearest references of every query,
     ties by reference id. ``exclude_self`` drops rid == qid (self-join use)."""
-    n_r = refs.count()
-    n_q = queries.count()
-    blocks = max(1, math.ceil(n_r / block_size))
-    chunks = max(1, math.ceil(n_q / block_size))
-    rb = refs.select(F.col(rid).cast("long").alias("rid"), F.col(vec).alias("rv"))
-    rb = rb.groupBy(F.pmod(F.xxhash64("rid"), F.lit(blocks)).alias("rb")).agg(
-        F.collect_list("rid").alias("rids"), F.collect_list("rv").alias("rvs")
-    )
-    qb = queries.select(F.col(qid).cast("long").alias("qid"), F.col(vec).alias("qv"))
-    qb = qb.groupBy(F.pmod(F.xxhash64("qid"), F.lit(chunks)).alias("qc")).agg(
-        F.collect_list("qid").alias("qids"), F.collect_list("qv").alias("qvs")
-    )
-    # block-level pairs: chunks x blocks rows, each a bounded pair of arrays
-    pairs = qb.crossJoin(rb).repartition(chunks * blocks)
-    kk = k + 1 if exclude_self else k
-    cand = pairs.select("qids", "qvs", "rids", "rvs").mapInPandas(_block_topk(kk), NB_SCHEMA)
-    if exclude_self:
-        cand = cand.filter(F.col("qid") != F.col("rid"))
-    w = Window.partitionBy("qid").orderBy("dist", "rid")
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def distance_expr(a: Column, b: Column) -> Column:
-    """Euclidean distance of two float arrays, summed in index order (double)."""
-    sq = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, v: acc + v))
+    v = F.col(vec).cast("array<double>").alias("v")
+    return metric_knn(queries.select(F.col(qid).cast("long").alias("qid"), v),
+                      refs.select(F.col(rid).cast("long").alias("rid"), v),
+                      k, pivots, group_rows, other_ids=exclude_self)
 
 
 # ------------------------------------------------------------------ M11
