@@ -28,6 +28,7 @@ MODULES = (
     "retainlab.plans.q_neighbours",
     "retainlab.plans.q_portfolio",
     "retainlab.plans.q_models",
+    "retainlab.plans.q_trees",
     "retainlab.plans.q_stream",
 )
 
