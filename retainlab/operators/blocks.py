@@ -1,13 +1,13 @@
 """Shared building blocks that decide whether the operators scale.
 
 K1 ``prefix_sums``: exact global running totals / ranks without moving all
-   rows into one task. Rows are range-partitioned on the full sort key (a
-   unique tie-breaker makes hot values split across ranges) and written once
-   with ``checkpoint()`` together with their range id, so the per-range totals
-   (at most ``n_ranges`` x groups rows) and the running sums read the same ids
-   even when a stage is recomputed after a lost executor (a recomputed range
-   sample could otherwise draw different bounds). Each range's offset is the
-   sum of the totals before it; the running sum inside a range adds it.
+   rows into one task. Bounds that cut the full sort key (with a unique
+   tie-breaker, so hot values split) into ranges of about equal size are taken
+   once, from a sample by key hash, and held as one row of literals; a row finds
+   its range by binary search in them. So the range of a row is a plain
+   expression, the same in the pass that sums the ranges (at most ``n_ranges`` x
+   groups rows) and in the pass that adds up inside them, also when a stage runs
+   again. Rows move once, by range, and only with the columns that are used.
 K3 ``grid_index``: map a score to the number of grid thresholds it reaches,
    so a whole threshold sweep is one pass plus cumulative sums over T rows.
 ``exact_quantiles``: exact interpolated quantiles from (value, count) groups
@@ -22,12 +22,27 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retainlab.session import checkpoint_dir
 
+#: Sampled keys per range.
+SAMPLE = 20
 
-def _n_ranges(df: DataFrame, n_ranges: int | None) -> int | None:
-    """An explicit range count, or None to let AQE size the ranges."""
-    return n_ranges or None
+
+def range_bounds(df: DataFrame, key: Column, n: int) -> DataFrame:
+    """One row: ``_bounds``, at most n - 1 keys that cut ``df`` into about equal
+    ranges, from the ``SAMPLE`` * n keys with the smallest hash."""
+    keys = df.select(key.alias("_k")).orderBy(F.xxhash64("_k"), "_k").limit(SAMPLE * n)
+    # at most SAMPLE * n keys: sorted and cut in one small task, then on the driver
+    cut = keys.agg(F.sort_array(F.collect_list("_k")).alias("_s"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.floor(i * F.size("_s") / n).cast("int"))
+    picked = F.transform(F.array_distinct(at), lambda i: F.get("_s", i)) if n > 1 else F.slice("_s", 1, 0)
+    bounds = cut.select(F.array_distinct(F.filter(picked, lambda k: k.isNotNull())).alias("_bounds"))
+    return df.sparkSession.createDataFrame(bounds.collect(), bounds.schema)
+
+
+def range_of(key: Column, n: int) -> Column:
+    """How many of the ascending ``_bounds`` (fewer than n) are <= key."""
+    steps = F.array(*[F.lit(1 << j) for j in reversed(range(max(1, n.bit_length())))])
+    return F.aggregate(steps, F.lit(0), lambda lo, s: F.when(F.get("_bounds", lo + s - 1) <= key, lo + s).otherwise(lo))
 
 
 def prefix_sums(
@@ -44,44 +59,40 @@ def prefix_sums(
     group's row count (``total_col``) and sums (``total_<name>``) taken from
     the per-range totals, so callers need no second aggregate.
 
-    ``order`` must be a total order within a group (end it with a unique key).
-    ``group`` must have few distinct values (models, classes): the offset
-    table has n_ranges x groups rows and is broadcast.
+    ``order`` has ascending keys (negate a number to sort it falling) and must
+    be a total order within a group (end it with a unique key). ``group`` must
+    have few distinct values (models, classes): the offset table has n_ranges x
+    groups rows and is broadcast. ``df`` must give the same keys each time it is
+    computed. ``n_ranges``: by default the session's shuffle partitions.
     """
     values = values or {}
     group = list(group)
-    n = _n_ranges(df, n_ranges)
+    n = n_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     vcols = {f"_v_{k}": v for k, v in values.items()}
-    base = df.withColumns(vcols) if vcols else df
-    sort_exprs = [F.col(g).asc() for g in group] + list(order)
-    checkpoint_dir(df.sparkSession)
-    # without an explicit count AQE sizes the ranges (merging adjacent ranges
-    # keeps a range partitioning); the range id is read after that, then written
-    ranged = base.repartitionByRange(n, *sort_exprs) if n else base.repartitionByRange(*sort_exprs)
-    ranged = ranged.withColumn("_pid", F.spark_partition_id()).checkpoint()
+    okeys = {f"_k_{i}": c for i, c in enumerate(order)}
+    base = df.withColumns({**vcols, **okeys})
+    key = F.struct(*group, *okeys)
+    bounds = range_bounds(base, key, n)
+    ranged = base.crossJoin(F.broadcast(bounds)).withColumn("_rid", range_of(key, n)).drop("_bounds")  # one row
     aggs = [F.count(F.lit(1)).alias("_t_n")] + [F.sum(c).alias(f"_t{c}") for c in vcols]
-    totals = ranged.groupBy(*group, "_pid").agg(*aggs)
-    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*group, "_rid").agg(*aggs)
+    before = Window.partitionBy(*group).orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
     offsets = totals.select(
         *group,
-        "_pid",
+        "_rid",
         F.coalesce(F.sum("_t_n").over(before), F.lit(0)).alias("_o_n"),
         *[F.coalesce(F.sum(f"_t{c}").over(before), F.lit(0)).alias(f"_o{c}") for c in vcols],
         F.sum("_t_n").over(whole).alias(total_col),
         *[F.sum(f"_t{c}").over(whole).alias(f"total_{name}") for name, c in zip(values, vcols)],
     )
-    joined = ranged.join(F.broadcast(offsets), on=[*group, "_pid"], how="inner")
-    inside = (
-        Window.partitionBy("_pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    out = joined.withColumn(rank_col, F.col("_o_n") + F.row_number().over(
-        Window.partitionBy("_pid", *group).orderBy(*order)
-    ))
+    joined = ranged.join(F.broadcast(offsets), on=[*group, "_rid"], how="inner")
+    own = Window.partitionBy("_rid", *group).orderBy(*okeys)
+    inside = own.rowsBetween(Window.unboundedPreceding, 0)
+    out = joined.withColumn(rank_col, F.col("_o_n") + F.row_number().over(own))
     for name, c in zip(values, vcols):
         out = out.withColumn(f"cum_{name}", F.col(f"_o{c}") + F.sum(c).over(inside))
-    drop = ["_pid", "_o_n", *vcols, *[f"_o{c}" for c in vcols]]
-    return out.drop(*drop)
+    return out.drop("_rid", "_o_n", *vcols, *okeys, *[f"_o{c}" for c in vcols])
 
 
 def linspace_values(start: float, stop: float, num: int) -> list[float]:
@@ -141,7 +152,7 @@ def exact_quantiles(
         .groupBy(group, value)
         .agg(F.count(F.lit(1)).alias("_cnt"))
     )
-    ranked = prefix_sums(counts, [F.col(value).asc()], {"cnt": F.col("_cnt")}, group=[group],
+    ranked = prefix_sums(counts, [F.col(value)], {"cnt": F.col("_cnt")}, group=[group],
                          n_ranges=n_ranges)
     pos = (F.col("total_cnt") - 1) * F.lit(float(q))
     lo_i = F.floor(pos)

@@ -260,32 +260,26 @@ def scenario_delta(
 
 
 # ------------------------------------------------------------ B10-B14 campaign
-def campaign_ranked(
-    pf: DataFrame,
-    offer_cost: float = 50.0,
-    min_probability: float = 0.0,
-    cost_fn: float = C.COST_FN,
-) -> DataFrame:
-    """Eligible rows (saving > 0), K1 rank by saving desc then id, with the
-    running sum of probabilities."""
+def campaign_eligible(pf: DataFrame, offer_cost: float = 50.0, min_probability: float = 0.0,
+                      cost_fn: float = C.COST_FN) -> DataFrame:
+    """Rows whose expected saving is above zero."""
     p = F.col("churn_probability")
     el = pf.filter(p >= F.lit(min_probability)).withColumn(
         "expected_savings", p * F.lit(cost_fn) - F.lit(offer_cost)
     )
-    el = el.filter(F.col("expected_savings") > 0)
-    return prefix_sums(
-        el,
-        [F.col("expected_savings").desc(), F.col(ID).asc()],
-        {"p": F.col("churn_probability")},
-    )
+    return el.filter(F.col("expected_savings") > 0)
 
 
-def campaign_targets(pf: DataFrame, budget: float, offer_cost: float = 50.0,
-                     min_probability: float = 0.0) -> DataFrame:
-    n = int(budget // offer_cost)
-    ranked = campaign_ranked(pf, offer_cost, min_probability)
-    t = ranked.filter(F.col("rank") <= n)
-    return t.select(
+def campaign_ranked(pf: DataFrame, offer_cost: float = 50.0, min_probability: float = 0.0,
+                    cost_fn: float = C.COST_FN) -> DataFrame:
+    """Eligible rows, K1 rank by saving desc then id, with the running sum of
+    probabilities."""
+    el = campaign_eligible(pf, offer_cost, min_probability, cost_fn)
+    return prefix_sums(el, [-F.col("expected_savings"), F.col(ID)], {"p": F.col("churn_probability")})
+
+
+def _target_columns(ranked: DataFrame) -> DataFrame:
+    return ranked.select(
         "rank",
         ID,
         F.round("churn_probability", 4).alias("churn_probability"),
@@ -296,19 +290,35 @@ def campaign_targets(pf: DataFrame, budget: float, offer_cost: float = 50.0,
     )
 
 
+def campaign_targets(pf: DataFrame, budget: float, offer_cost: float = 50.0,
+                     min_probability: float = 0.0) -> DataFrame:
+    n = int(budget // offer_cost)
+    ranked = campaign_ranked(pf, offer_cost, min_probability)
+    return _target_columns(ranked.filter(F.col("rank") <= n))
+
+
+def campaign_top(pf: DataFrame, budget: float, offer_cost: float = 50.0, min_probability: float = 0.0,
+                 top: int = 20) -> DataFrame:
+    """The first ``top`` targets, by a distributed top-k; the few are then ranked."""
+    n = min(top, int(budget // offer_cost))
+    order = [F.col("expected_savings").desc(), F.col(ID).asc()]
+    few = campaign_eligible(pf, offer_cost, min_probability).orderBy(*order).limit(n)
+    return _target_columns(few.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint")))
+
+
 def campaign_summary(pf: DataFrame, budget: float, offer_cost: float = 50.0,
                      min_probability: float = 0.0, cost_fn: float = C.COST_FN) -> DataFrame:
     n = int(budget // offer_cost)
     ranked = campaign_ranked(pf, offer_cost, min_probability, cost_fn)
-    tgt = ranked.filter(F.col("rank") <= n)
-    eligible = ranked.agg(F.count(F.lit(1)).alias("total_eligible"))
-    tot = tgt.agg(
-        F.count(F.lit(1)).alias("customers_targeted"),
-        F.coalesce(F.sum("churn_probability"), F.lit(0.0)).alias("_ret"),
+    taken = F.col("rank") <= n
+    tot = ranked.agg(
+        F.count(F.lit(1)).alias("total_eligible"),
+        F.count_if(taken).alias("customers_targeted"),
+        F.coalesce(F.sum(F.when(taken, F.col("churn_probability"))), F.lit(0.0)).alias("_ret"),
     )
     cost = F.col("customers_targeted") * F.lit(offer_cost)
     net = F.col("_ret") * F.lit(cost_fn) - cost
-    return eligible.crossJoin(tot).select(
+    return tot.select(
         "total_eligible",
         "customers_targeted",
         F.round(cost, 2).alias("campaign_cost"),
@@ -434,20 +444,25 @@ def revenue_histogram(pf: DataFrame, bins: int = 20) -> DataFrame:
 def _strategy_targets(pf: DataFrame, min_probability: float) -> DataFrame:
     at_risk = with_revenue(pf.filter(F.col("churn_probability") >= F.lit(min_probability)))
     return prefix_sums(
-        at_risk, [F.col("revenue_at_risk").desc(), F.col(ID).asc()], {"rar": F.col("revenue_at_risk")}
+        at_risk, [-F.col("revenue_at_risk"), F.col(ID)], {"rar": F.col("revenue_at_risk")}
     )
 
 
-def _strategy_totals(pf: DataFrame, strategies: DataFrame, budget: float,
-                     min_probability: float) -> DataFrame:
-    ranked = _strategy_targets(pf, min_probability)
-    n_at = ranked.agg(F.count(F.lit(1)).alias("total_at_risk"))
-    s = strategies.crossJoin(n_at).withColumn(
+def _strategy_sizes(pf: DataFrame, strategies: DataFrame, budget: float, min_probability: float) -> DataFrame:
+    """How many customers each strategy pays for: the at-risk ones, at most what
+    the budget covers."""
+    n_at = pf.filter(F.col("churn_probability") >= F.lit(min_probability)).agg(F.count(F.lit(1)).alias("total_at_risk"))
+    return strategies.crossJoin(n_at).withColumn(
         "n_take",
         F.least(F.floor(F.lit(float(budget)) / F.col("cost_per_customer")).cast("bigint"),
                 F.col("total_at_risk")),
     )
-    pref = ranked.select(F.col("rank").alias("n_take"), "cum_rar")
+
+
+def _strategy_totals(pf: DataFrame, strategies: DataFrame, budget: float,
+                     min_probability: float) -> DataFrame:
+    s = _strategy_sizes(pf, strategies, budget, min_probability)
+    pref = _strategy_targets(pf, min_probability).select(F.col("rank").alias("n_take"), "cum_rar")
     return s.join(pref, "n_take", "left").withColumn(
         "rar_sum", F.coalesce(F.col("cum_rar"), F.lit(0.0))
     )
@@ -486,7 +501,7 @@ def strategy_breakdown(pf: DataFrame, strategies: DataFrame, budget: float = 500
     rows joined with each strategy's row limit (a range condition on rank
     against a table of one row per strategy)."""
     ranked = _strategy_targets(pf, min_probability)
-    t = _strategy_totals(pf, strategies, budget, min_probability).select("slot", "n_take")
+    t = _strategy_sizes(pf, strategies, budget, min_probability).select("slot", "n_take")
     tgt = ranked.join(F.broadcast(t), F.col("rank") <= F.col("n_take"))
     return pf.sparkSession.sql(
         """

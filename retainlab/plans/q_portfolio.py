@@ -259,7 +259,7 @@ FROM t WHERE rank <= 20
 """)
 def q_campaign_top20(spark, sf_dir):
     """The first 20 targets of the campaign."""
-    return P.campaign_targets(scored_portfolio(spark, sf_dir), BUDGET, OFFER_COST, 0.0).filter("rank <= 20")
+    return P.campaign_top(scored_portfolio(spark, sf_dir), BUDGET, OFFER_COST, 0.0)
 
 
 @query("campaign_summary", RANKED_CAMPAIGN + """

@@ -25,7 +25,7 @@ def scores(spark):
 
 
 def test_k1_equals_window(scores):
-    got = B.prefix_sums(scores, [F.col("score").desc(), F.col("id").asc()], {"y": F.col("y_true")},
+    got = B.prefix_sums(scores, [-F.col("score"), F.col("id")], {"y": F.col("y_true")},
                         group=["model"], n_ranges=7)
     w = Window.partitionBy("model").orderBy(F.col("score").desc(), F.col("id").asc())
     ref = scores.select("id", F.row_number().over(w).alias("r"),
@@ -35,6 +35,30 @@ def test_k1_equals_window(scores):
     assert a == b
 
 
+def test_k1_ranges_split_a_hot_value(spark):
+    rows = spark.range(4000).select("id", (F.col("id") % 3 == 0).cast("int").alias("v"))
+    key = F.struct("v", "id")
+    bounds = B.range_bounds(rows, key, 8)
+    assert len(bounds.first()["_bounds"]) == 7
+    sizes = rows.crossJoin(bounds).groupBy(B.range_of(key, 8).alias("r")).agg(F.count("*").alias("n"), F.min(key).alias("a"), F.max(key).alias("z")).orderBy("r").collect()
+    assert [r["r"] for r in sizes] == list(range(8)) and max(r["n"] for r in sizes) < 4000 / 3
+    assert all(tuple(x["z"]) < tuple(y["a"]) for x, y in zip(sizes, sizes[1:]))
+    few = rows.limit(2)
+    assert B.prefix_sums(few, [F.col("id")], n_ranges=50).count() == 2
+    assert B.prefix_sums(rows.limit(0), [F.col("id")], n_ranges=5).count() == 0
+
+
+def test_campaign_plan_moves_few_columns(spark):
+    from retainlab.operators import portfolio as P
+    from retainlab.plans.q_portfolio import BUDGET, OFFER_COST, scored_portfolio
+
+    from .conftest import SMALL
+
+    plan = P.campaign_summary(scored_portfolio(spark, SMALL), BUDGET, OFFER_COST)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and "checkpoint" not in plan and not any("StreamingTV" in line for line in windows)
+
+
 def test_auc_monotone_invariant(scores):
     a = {r[0]: r[1] for r in E.roc_auc(scores).collect()}
     t = scores.withColumn("score", F.col("score") * 3 + 1)
