@@ -1,4 +1,5 @@
-"""M4, M5: gradient boosting on histograms, leaf-wise and second-order.
+"""M3-M5, M8: boosting on histograms: first-order, leaf-wise, second-order, and
+AdaBoost.
 
 A tree grows best leaf first: the open leaf with the highest gain is split next,
 until ``max_leaves`` or ``max_depth`` (0: no limit). One job computes histograms
@@ -12,7 +13,14 @@ leaves that is level-wise growth.
 Gain of a split: T(G_l)^2 / (H_l + l2) + T(G_r)^2 / (H_r + l2) - T(G)^2 / (H + l2),
 T the soft threshold at ``l1``; leaf value -rate * T(G) / (H + l2). Rows are
 sampled per tree by a hash of their key, columns by a seeded draw. The margin
-starts at the weighted log odds.
+starts at the weighted log odds. ``first_order`` chooses splits as least squares
+on the gradient does (rows in place of hessians); the leaf values stay.
+
+AdaBoost (binary SAMME) keeps a row's log weight where boosting keeps its margin.
+Row weights start alike; a round fits a tree to rows weighted by row times class
+weight, takes its error under the row weights alone, and raises the weights of
+the rows it missed. With weighted shares as sums (g = w y, h = w) the same
+histograms give splits of highest Gini gain and leaves that hold class shares.
 
 Rows that fill a single block have nothing to sum between tasks: the same loop
 then runs inside the one task that holds them, with the same trees, and saves
@@ -22,6 +30,7 @@ thousands of jobs of a millisecond's work.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,10 +55,12 @@ class Settings:
     rows: float = 1.0
     columns: float = 1.0
     seed: int = 42
+    first_order: bool = False
 
 
 # --- fixed values: the modelled settings -----------------------------------
 LEAF_WISE = Settings(rounds=500, rate=0.05, max_leaves=31, min_rows=20, l1=0.1, l2=0.1, rows=0.8, columns=0.8)
+FIRST_ORDER = Settings(rounds=300, rate=0.03, max_depth=3, min_rows=10, rows=0.8, first_order=True)
 SECOND_ORDER = Settings(rounds=800, rate=0.05, max_depth=4, min_hessian=1.0, l2=1.0, rows=0.9, columns=0.9)
 
 #: Trees after which the margins of the blocks are written on, and how often
@@ -61,8 +72,8 @@ def soft(g: np.ndarray, l1: float) -> np.ndarray:
     return np.sign(g) * np.maximum(np.abs(g) - l1, 0.0)
 
 
-def worth(g: np.ndarray, h: np.ndarray, s: Settings) -> np.ndarray:
-    return soft(g, s.l1) ** 2 / (h + s.l2 + 1e-12)
+def worth(sums: np.ndarray, s: Settings) -> np.ndarray:
+    return soft(sums[..., 0], s.l1) ** 2 / (sums[..., 2 if s.first_order else 1] + s.l2 + 1e-12)
 
 
 @dataclass
@@ -76,34 +87,70 @@ class Split:
 
 def best_split(hist: np.ndarray, bins: Bins, columns: np.ndarray, s: Settings) -> Split | None:
     """The cut of highest gain (ties: first feature, lowest cut), if any."""
-    padded = np.concatenate([hist, np.zeros((1, 3))])[bins.grid]  # feature x bin x 3
-    left = padded.cumsum(axis=1)
-    total = left[0, -1]
+    places = np.flatnonzero(bins.open & columns[bins.feature])
+    if not len(places):
+        return None
+    run = np.concatenate([np.zeros((1, 3)), hist.cumsum(axis=0)])
+    total = run[bins.sizes[0]]
+    left = run[places + 1] - run[bins.first[places]]
     right = total - left
-    able = bins.open & columns[:, None]
-    for side in (left, right):
-        able &= (side[..., 2] >= s.min_rows - 0.5) & (side[..., 1] >= s.min_hessian)
-    gain = worth(left[..., 0], left[..., 1], s) + worth(right[..., 0], right[..., 1], s) - worth(total[0], total[1], s)
+    able = np.minimum(left[:, 2], right[:, 2]) >= s.min_rows - 0.5
+    able &= np.minimum(left[:, 1], right[:, 1]) >= s.min_hessian
+    gain = worth(left, s) + worth(right, s) - worth(total, s)
     gain = np.where(able, gain, -np.inf)
-    f, c = np.unravel_index(int(gain.argmax()), gain.shape)
-    if not gain[f, c] > max(s.min_gain, 1e-12):
+    i = int(gain.argmax())
+    if not gain[i] > max(s.min_gain, 1e-9):
         return None
-    return Split(float(gain[f, c]), int(f), int(c), left[f, c], right[f, c])
+    at = places[i]
+    return Split(float(gain[i]), int(bins.feature[at]), int(bins.bin[at]), left[i], right[i])
+
+
+@dataclass(frozen=True)
+class Added:
+    """A tree's values join the margin."""
+
+    tree: Tree
+
+    def __call__(self, b: Block) -> np.ndarray:
+        return self.tree.predict(b.bins, binned=True)
+
+
+@dataclass(frozen=True)
+class Raised:
+    """Log weights of the rows a tree misses go up by ``alpha``."""
+
+    tree: Tree
+    alpha: float
+
+    def missed(self, b: Block) -> np.ndarray:
+        return (self.tree.predict(b.bins, binned=True) > 0.5) != (b.y > 0.5)
+
+    def __call__(self, b: Block) -> np.ndarray:
+        return self.alpha * self.missed(b)
 
 
-def gradients(b: Block, recent: list[Tree]) -> tuple[np.ndarray, np.ndarray]:
-    margin = b.margin.copy()
-    for t in recent:
-        margin += t.predict(b.bins, binned=True)
+def margins(b: Block, recent: list) -> np.ndarray:
+    out = b.margin.copy()
+    for step in recent:
+        out += step(b)
+    return out
+
+
+def logistic(b: Block, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     p = 1.0 / (1.0 + np.exp(-margin))
     return b.w * (p - b.y), b.w * p * (1.0 - p)
 
 
-def block_histogram(b: Block, recent: list[Tree], shape: Tree, nodes: list[int], bins: Bins, salt: int, rate: float) -> np.ndarray:
+def shares(b: Block, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    w = b.w * np.exp(margin)
+    return w * b.y, w
+
+
+def block_histogram(b: Block, recent: list, loss: Callable, shape: Tree, nodes: list[int], bins: Bins, salt: int, rate: float) -> np.ndarray:
     """(node, place, 3): sums of gradient, hessian and rows by bin."""
     slot = np.full(len(shape.feature), -1)
     slot[nodes] = np.arange(len(nodes))
-    g, h = gradients(b, recent)
+    g, h = loss(b, margins(b, recent))
     at = slot[shape.leaves(b.bins, binned=True)]
     keep = (at >= 0) & (uniform(b.key, salt) < rate)
     n, width = len(nodes) * bins.total, len(bins.starts)
@@ -117,21 +164,30 @@ def block_histogram(b: Block, recent: list[Tree], shape: Tree, nodes: list[int],
 class Spread:
     """Blocks on the executors; their margins are written on now and then."""
 
-    def __init__(self, blocks: RDD, start: float):
-        self.recent: list[Tree] = []
-        self.done, self.old = 0, blocks
+    def __init__(self, blocks: RDD, start: float, loss: Callable):
+        self.recent: list = []
+        self.loss, self.done, self.old = loss, 0, blocks
         self.blocks = _moved(blocks, start, [])
 
-    def histograms(self, *args) -> np.ndarray:
+    def sums(self, of: Callable[[Block, np.ndarray], np.ndarray]) -> np.ndarray:
+        """The sum over blocks of an array of block and margins."""
         recent = self.recent
-        got = summed(self.blocks, lambda b: block_histogram(b, recent, *args))
+        got = summed(self.blocks, lambda b: of(b, margins(b, recent)))
         if self.old is not None:  # the new blocks have been read
             self.old.unpersist()
             self.old = None
         return got
 
-    def add(self, tree: Tree) -> None:
-        self.recent = [*self.recent, tree]
+    def histograms(self, *args) -> np.ndarray:
+        recent, loss = self.recent, self.loss
+        got = summed(self.blocks, lambda b: block_histogram(b, recent, loss, *args))
+        if self.old is not None:
+            self.old.unpersist()
+            self.old = None
+        return got
+
+    def add(self, step: Callable[[Block], np.ndarray]) -> None:
+        self.recent = [*self.recent, step]
         if len(self.recent) == REFRESH:
             self.blocks, self.old = _moved(self.blocks, 0.0, self.recent), self.blocks
             self.recent, self.done = [], self.done + 1
@@ -147,14 +203,17 @@ class Spread:
 class Together:
     """One block at hand."""
 
-    def __init__(self, block: Block, start: float):
-        self.block = Block(block.bins, block.y, block.w, block.key, block.margin + start)
+    def __init__(self, block: Block, start: float, loss: Callable):
+        self.block, self.loss = Block(block.bins, block.y, block.w, block.key, block.margin + start), loss
+
+    def sums(self, of: Callable[[Block, np.ndarray], np.ndarray]) -> np.ndarray:
+        return of(self.block, self.block.margin)
 
     def histograms(self, *args) -> np.ndarray:
-        return block_histogram(self.block, [], *args)
+        return block_histogram(self.block, [], self.loss, *args)
 
-    def add(self, tree: Tree) -> None:
-        self.block.margin += tree.predict(self.block.bins, binned=True)
+    def add(self, step: Callable[[Block], np.ndarray]) -> None:
+        self.block.margin += step(self.block)
 
 
 def grow(data: Spread | Together, bins: Bins, s: Settings, round_: int) -> Tree:
@@ -238,49 +297,97 @@ class Boosted:
         return 1.0 / (1.0 + np.exp(-self.margin(x)))
 
 
-def fit_boosted(train: DataFrame, s: Settings, weight: Column, vec: str = "features", label: str = "label", key: str = "k") -> Boosted:
-    """Fit on rows with a feature vector, a 0 / 1 label and a key. No rows or
-    one class only: no trees."""
+def _blocks(train: DataFrame, weight: Column, vec: str, label: str, key: str) -> tuple[RDD, Bins] | None:
     checkpoint_dir(train.sparkSession)
     cuts = feature_cuts(train, vec)
     if not cuts:
-        return Boosted(0.0, [])
+        return None
     bins = Bins(cuts)
-    blocks = training_blocks(train, bins, weight, vec, label, key)
+    return training_blocks(train, bins, weight, vec, label, key), bins
+
+
+def _run(blocks: RDD, start: float, loss: Callable, loop: Callable):
+    """The fit's loop over the blocks, or inside the task that holds the only one."""
+    if blocks.getNumPartitions() == 1:
+        out = blocks.mapPartitions(lambda it: (loop(Together(b, start, loss)) for b in it)).collect()[0]
+        blocks.unpersist()
+        return out
+    data = Spread(blocks, start, loss)
+    out = loop(data)
+    data.release()
+    return out
+
+
+def fit_boosted(train: DataFrame, s: Settings, weight: Column, vec: str = "features", label: str = "label", key: str = "k") -> Boosted:
+    """Fit on rows with a feature vector, a 0 / 1 label and a key. No rows or
+    one class only: no trees."""
+    made = _blocks(train, weight, vec, label, key)
+    if made is None:
+        return Boosted(0.0, [])
+    blocks, bins = made
     neg, pos = summed(blocks, lambda b: np.array([(b.w * (1 - b.y)).sum(), (b.w * b.y).sum()]))
     if not neg or not pos:
+        blocks.unpersist()
         return Boosted(float(np.sign(pos - neg) * 30.0), [])
     start = float(np.log(pos / neg))
-    if blocks.getNumPartitions() == 1:
 
-        def whole(it):
-            for block in it:
-                data = Together(block, start)
-                yield boost(data, bins, s)
+    def loop(data: Spread | Together) -> list[Tree]:
+        trees = []
+        for i in range(s.rounds):
+            trees.append(grow(data, bins, s, i))
+            data.add(Added(trees[-1]))
+        return trees
+
+    return Boosted(start, _run(blocks, start, logistic, loop))
 
-        trees = blocks.mapPartitions(whole).collect()[0]
-        blocks.unpersist()
-        return Boosted(start, trees)
-    data = Spread(blocks, start)
-    trees = boost(data, bins, s)
-    data.release()
-    return Boosted(start, trees)
 
+@dataclass
+class Ada:
+    """Trees with their say; ``score`` is the logistic of the mean vote."""
+
+    trees: list[Tree]
+    says: list[float]
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        vote = np.zeros(len(x))
+        for t, a in zip(self.trees, self.says):
+            vote += a * np.where(t.predict(x) > 0.5, 1.0, -1.0)
+        return 1.0 / (1.0 + np.exp(-vote / (sum(self.says) or 1.0)))
+
+
+def fit_adaboost(train: DataFrame, class_weight: Column, rounds: int = 300, rate: float = 0.5, max_depth: int = 3,
+                 vec: str = "features", label: str = "label", key: str = "k") -> Ada:
+    """Binary SAMME; a tree without error ends the fit and decides alone with
+    those before it, one no better than chance ends it unused."""
+    made = _blocks(train, class_weight, vec, label, key)
+    if made is None:
+        return Ada([], [])
+    blocks, bins = made
+    s = Settings(rounds=rounds, rate=-1.0, max_depth=max_depth)
+
+    def loop(data: Spread | Together) -> Ada:
+        out = Ada([], [])
+        for i in range(rounds):
+            tree = grow(data, bins, s, i)
+            missed = Raised(tree, 0.0).missed
+            wrong, whole = data.sums(lambda b, m: np.array([(np.exp(m) * missed(b)).sum(), np.exp(m).sum()]))
+            error = wrong / whole
+            if error >= 0.5:
+                break
+            out.trees.append(tree)
+            out.says.append(rate * float(np.log((1 - error) / error)) if error > 0 else 1.0)
+            if error <= 0:
+                break
+            # weights are kept as they are: their common factor cancels
+            data.add(Raised(tree, out.says[-1]))
+        return out
 
-def boost(data: Spread | Together, bins: Bins, s: Settings) -> list[Tree]:
-    trees = []
-    for i in range(s.rounds):
-        trees.append(grow(data, bins, s, i))
-        data.add(trees[-1])
-    return trees
+    return _run(blocks, 0.0, shares, loop)
 
 
-def _moved(blocks: RDD, by: float, recent: list[Tree]) -> RDD:
+def _moved(blocks: RDD, by: float, recent: list) -> RDD:
     def move(b: Block) -> Block:
-        margin = b.margin + by
-        for t in recent:
-            margin = margin + t.predict(b.bins, binned=True)
-        return Block(b.bins, b.y, b.w, b.key, margin)
+        return Block(b.bins, b.y, b.w, b.key, margins(b, recent) + by)
 
     return blocks.map(move).persist(StorageLevel.MEMORY_AND_DISK)
 

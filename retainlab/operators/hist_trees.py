@@ -119,12 +119,12 @@ class Bins:
         self.sizes = np.array([len(c) + 1 for c in cuts])
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         self.total = int(self.sizes.sum())
-        widest = int(self.sizes.max())
-        at = np.arange(widest)[None, :]
-        #: feature x bin -> place in the histogram (the last place is empty)
-        self.grid = np.where(at < self.sizes[:, None], self.starts[:, None] + at, self.total)
+        #: per place: its feature, where that feature starts, its bin
+        self.feature = np.repeat(np.arange(len(cuts)), self.sizes)
+        self.first = np.repeat(self.starts, self.sizes)
+        self.bin = np.arange(self.total) - self.first
         #: places after which a feature can be cut
-        self.open = at < (self.sizes - 1)[:, None]
+        self.open = self.bin < np.repeat(self.sizes - 1, self.sizes)
 
     def of(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(self.cuts)], axis=1).astype(np.uint8)

@@ -90,6 +90,43 @@ def test_boosted_trees_equal_full_search(spark, s):
     assert np.allclose(model.margin(x), margin)
 
 
+def test_first_order_splits_by_rows_and_steps_by_hessian(spark):
+    x, y, w = table()
+    s = B.Settings(rounds=2, rate=0.3, max_depth=2, min_rows=10, first_order=True)
+    model = B.fit_boosted(frame(spark, x, y, np.ones(len(x))), s, F.lit(1.0))
+    margin = np.full(len(x), model.start)
+    for tree in model.trees:
+        p = 1 / (1 + np.exp(-margin))
+        _, leaves = Plain(x, p - y, np.ones(len(x)), s).grow()
+        step = np.zeros(len(x))
+        for m in leaves:
+            step[m] = -0.3 * (p - y)[m].sum() / ((p * (1 - p))[m].sum() + 1e-12)
+        assert np.allclose(tree.predict(x), step, atol=1e-9)
+        margin = margin + tree.predict(x)
+
+
+def test_adaboost_equals_its_definition(spark, monkeypatch):
+    x, y, w = table()
+    balanced = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    model = B.fit_adaboost(frame(spark, x, y, balanced), F.col("weight"), rounds=25, rate=0.5, max_depth=2)
+    weight = np.ones(len(x)) / len(x)  # uniform at the start; class weights only inside the tree
+    for tree, say in zip(model.trees, model.says):
+        _, leaves = Plain(x, weight * balanced * y, weight * balanced, B.Settings(rounds=1, rate=1, max_depth=2)).grow()
+        share = np.zeros(len(x))
+        for m in leaves:
+            share[m] = (weight * balanced * y)[m].sum() / (weight * balanced)[m].sum()
+        assert np.allclose(tree.predict(x), share, atol=1e-9)
+        missed = (share > 0.5) != (y > 0.5)
+        error = weight[missed].sum() / weight.sum()
+        assert abs(say - 0.5 * math.log((1 - error) / error)) < 1e-9
+        weight = weight * np.exp(say * missed)
+        weight = weight / weight.sum()
+    assert len(model.trees) == 25
+    monkeypatch.setattr(H, "BLOCK_ROWS", 64)
+    many = B.fit_adaboost(frame(spark, x, y, balanced).repartition(4), F.col("weight"), rounds=25, rate=0.5, max_depth=2)
+    assert np.allclose(many.says, model.says)
+
+
 def test_rows_on_several_blocks_give_the_same_trees(spark, monkeypatch):
     x, y, w = table(300)
     s = B.Settings(rounds=20, rate=0.2, max_leaves=7, min_rows=5, l2=0.1, rows=0.7, columns=0.6)
