@@ -1,10 +1,9 @@
 """Trained classifiers M1-M16 on prepared feature vectors.
 
-Every fit is an MLlib estimator (distributed) or a short driver loop whose
-steps are distributed jobs (AdaBoost rounds, stacking folds, tuning trials).
-``REFERENCE_PRESETS`` holds the modelled settings, the default of
-the fits; callers may give others. Iterative loops cut lineage with ``checkpoint()`` into the
-session's shared checkpoint folder.
+Every fit is an MLlib estimator (distributed) or a fit of this library's tree
+learners (``boosting``, ``random_trees``); stacks are in ``stacking``.
+``REFERENCE_PRESETS`` holds the modelled settings, the default of the fits;
+callers may give others.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ import random
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import (
-    DecisionTreeClassifier,
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
@@ -29,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from retainlab.operators import boosting as BO
 from retainlab.operators import calibrate as CA
 from retainlab.operators import prepare as PR
-from retainlab.session import checkpoint_dir
+from retainlab.operators.hist_trees import score_rows
 
 FEATURES, LABEL, WEIGHT = "features", "label", "weight"
 
@@ -110,44 +109,11 @@ def fit_score(name: str, train: DataFrame, score_on: DataFrame, n_train: int, n_
 
 # ------------------------------------------------------------ M8 AdaBoost
 def adaboost(train: DataFrame, score_on: DataFrame, rounds: int = 300, learning_rate: float = 0.5,
-             max_depth: int = 3, checkpoint_every: int = 3) -> DataFrame:
-    """Binary SAMME. Each round is one weighted tree fit plus one aggregate;
-    the weight update is an expression. score = sigmoid(decision) with
-    decision = sum_t a_t (2 pred_t - 1) / sum_t a_t."""
-    checkpoint_dir(train.sparkSession)
-    data = train.withColumn("_bw", F.col(WEIGHT))
-    tot = data.agg(F.sum("_bw")).first()[0]
-    data = data.withColumn("_bw", F.col("_bw") / F.lit(tot)).checkpoint()
-    trees, alphas = [], []
-    for t in range(rounds):
-        dt = DecisionTreeClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol="_bw", maxDepth=max_depth,
-                                    seed=42 + t)
-        m = dt.fit(data)
-        pred = m.transform(data).withColumn("_miss", (F.col("prediction") != F.col(LABEL)).cast("double"))
-        agg = pred.agg(F.sum(F.col("_bw") * F.col("_miss")).alias("e"), F.sum("_bw").alias("s")).first()
-        err = agg["e"] / agg["s"]
-        if err <= 0:
-            trees.append(m)
-            alphas.append(1.0)
-            break
-        if err >= 0.5:
-            break
-        alpha = learning_rate * math.log((1 - err) / err)
-        trees.append(m)
-        alphas.append(alpha)
-        upd = pred.withColumn("_bw", F.col("_bw") * F.exp(F.lit(alpha) * F.col("_miss")))
-        s = upd.agg(F.sum("_bw")).first()[0]
-        data = upd.withColumn("_bw", F.col("_bw") / F.lit(s)).drop("prediction", "rawPrediction", "probability", "_miss")
-        if (t + 1) % checkpoint_every == 0:
-            data = data.checkpoint()
-    total = sum(alphas) or 1.0
-    out = score_on.withColumn("_dec", F.lit(0.0))
-    for i, (m, a) in enumerate(zip(trees, alphas)):
-        out = m.setPredictionCol("_p").setRawPredictionCol("_r").setProbabilityCol("_q").transform(out)
-        out = out.withColumn("_dec", F.col("_dec") + F.lit(a) * (F.col("_p") * 2 - 1)).drop("_p", "_r", "_q")
-        if (i + 1) % 20 == 0:
-            out = out.checkpoint()
-    return out.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("_dec") / F.lit(total))))).drop("_dec")
+             max_depth: int = 3) -> DataFrame:
+    """Binary SAMME: row weights start alike, class weights count inside the
+    trees only; ``score_on`` with the logistic of the mean vote."""
+    model = BO.fit_adaboost(train, F.col(WEIGHT), rounds, learning_rate, max_depth)
+    return score_rows(score_on, model.score, FEATURES)
 
 
 # -------------------------------------------------------- M9 kernel SVM
@@ -171,67 +137,39 @@ def fourier_features(df: DataFrame, n_features: int, n_components: int = 100, ga
     return df.withColumn(out, array_to_vector(rff(vector_to_array(FEATURES))))
 
 
-def svm_rff(train: DataFrame, calib: DataFrame, score_on: DataFrame, n_features: int) -> DataFrame:
-    """LinearSVC on Fourier features, margins Platt-scaled on ``calib`` (C4)."""
-    tr = fourier_features(train, n_features)
-    svc = LinearSVC(featuresCol="rff", labelCol=LABEL, weightCol=WEIGHT, maxIter=30, regParam=0.01).fit(tr)
-
-    def margin(df):
-        return svc.transform(fourier_features(df, n_features)).withColumn(
-            "score", vector_to_array("rawPrediction")[1])
+def scale_gamma(train: DataFrame) -> float:
+    """1 / (features x variance of all feature entries), 1 without variance."""
+    v = vector_to_array(FEATURES)
+    row = train.select(F.size(v).alias("d"), F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("s"),
+                       F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x).alias("q"))
+    r = row.agg(F.max("d").alias("d"), F.sum("d").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).first()
+    if not r["n"]:
+        return 1.0
+    var = r["q"] / r["n"] - (r["s"] / r["n"]) ** 2
+    return 1.0 / (r["d"] * var) if var > 0 else 1.0
 
-    a, b = CA.fit_platt(margin(calib))
-    return CA.apply_platt(margin(score_on), a, b)
 
+def svm_margins(train: DataFrame, n_features: int, C: float = 1.0, gamma: float | None = None, n_components: int = 256,
+                max_iter: int = 100):
+    """Fit a linear SVM on Fourier features; returns a function that adds the
+    margin as ``score``. C on the summed hinge loss is 1 / (C x weights) on
+    MLlib's mean loss."""
+    g = gamma if gamma is not None else scale_gamma(train)
+    total = train.agg(F.sum(WEIGHT)).first()[0]
 
-# --------------------------------------------------------- M12 stacking
-def stacking(train: DataFrame, score_on: DataFrame, bases: list[str], n_train: int, n_features: int,
-             folds: int = 5, calibrate: bool = False) -> DataFrame:
-    """Out-of-fold base probabilities (fold = hash of the key), a balanced
-    logistic meta model on them, bases refit on all train rows for scoring.
-    ``calibrate`` fits isotonic maps on each base's out-of-fold scores (M15)."""
-    tr = train.withColumn("_fold", F.pmod(F.xxhash64("k"), F.lit(folds)))
-    oof = None
-    for b in bases:
-        parts = []
-        for f in range(folds):
-            s = fit_score(b, tr.filter(F.col("_fold") != f), tr.filter(F.col("_fold") == f), n_train, n_features)
-            parts.append(s.select("k", F.lit(b).alias("model"), "score"))
-        ob = parts[0]
-        for p in parts[1:]:
-            ob = ob.unionByName(p)
-        oof = ob if oof is None else oof.unionByName(ob)
-    oof = oof.checkpoint()
-    full = None
-    for b in bases:
-        s = fit_score(b, train, score_on, n_train, n_features).select("k", F.lit(b).alias("model"), "score")
-        full = s if full is None else full.unionByName(s)
-    if calibrate:
-        lab = train.select("k", "y_true")
-        cal_parts = []
-        for b in bases:
-            iso = CA.fit_isotonic(oof.filter(F.col("model") == b).join(lab, "k"))
-            cal_parts.append((b, iso))
-        oof = _apply_iso(oof, cal_parts)
-        full = _apply_iso(full, cal_parts)
-    meta_x = oof.groupBy("k").pivot("model", bases).agg(F.first("score"))
-    meta_tr = train.select("k", LABEL, WEIGHT).join(meta_x, "k")
-    from pyspark.ml.feature import VectorAssembler
+    def lift(df: DataFrame) -> DataFrame:
+        return fourier_features(df, n_features, n_components, g)
 
-    va = VectorAssembler(inputCols=bases, outputCol="_mf")
-    lr = LogisticRegression(featuresCol="_mf", labelCol=LABEL, weightCol=WEIGHT, regParam=1.0 / n_train,
-                            standardization=False).fit(va.transform(meta_tr))
-    test_x = full.groupBy("k").pivot("model", bases).agg(F.first("score"))
-    scored = prob1(lr.transform(va.transform(test_x)))
-    return score_on.join(scored.select("k", "score"), "k")
+    svc = LinearSVC(featuresCol="rff", labelCol=LABEL, weightCol=WEIGHT, maxIter=max_iter, standardization=False,
+                    regParam=1.0 / (C * total)).fit(lift(train))
+    return lambda df: svc.transform(lift(df)).withColumn("score", vector_to_array("rawPrediction")[1])
 
 
-def _apply_iso(scores: DataFrame, cal_parts) -> DataFrame:
-    out = None
-    for b, iso in cal_parts:
-        part = CA.apply_isotonic(scores.filter(F.col("model") == b), iso)
-        out = part if out is None else out.unionByName(part)
-    return out
+def svm_rff(train: DataFrame, calib: DataFrame, score_on: DataFrame, n_features: int) -> DataFrame:
+    """SVM margins, Platt-scaled on ``calib`` (C4)."""
+    margin = svm_margins(train, n_features)
+    a, b = CA.fit_platt(margin(calib))
+    return CA.apply_platt(margin(score_on), a, b)
 
 
 # ------------------------------------------------------------ M16 tuning

@@ -13,6 +13,7 @@ from retainlab.operators import models as MD
 from retainlab.operators import neighbours as N
 from retainlab.operators import portfolio as P
 from retainlab.operators import prepare as PR
+from retainlab.operators import stacking as ST
 from retainlab.plans.q_prepare import prepared_vectors
 from retainlab.plans.registry import query
 
@@ -82,18 +83,17 @@ def q_fit_knn(spark, sf_dir):
 
 @query("fit_stacking")
 def q_fit_stacking(spark, sf_dir):
+    """Six bases, five folds, a balanced logistic meta model."""
     v, train, n, d = _data(spark, sf_dir)
-    s = MD.stacking(train, v.filter(F.col("split") == "test"), ["logistic_regression", "random_forest"], n, d,
-                    folds=3)
-    return _out(s)
+    return _out(ST.stack(train, v.filter(F.col("split") == "test"), ST.PLAIN, d))
 
 
 @query("fit_calibrated_stacking")
 def q_fit_calibrated_stacking(spark, sf_dir):
+    """Four bases, each calibrated on inner folds, five outer folds."""
     v, train, n, d = _data(spark, sf_dir)
-    s = MD.stacking(train, v.filter(F.col("split") == "test"), ["logistic_regression", "random_forest"], n, d,
-                    folds=3, calibrate=True)
-    return _out(s)
+    bases = {name: ST.calibrated(base) for name, base in ST.CALIBRATED.items()}
+    return _out(ST.stack(train, v.filter(F.col("split") == "test"), bases, d))
 
 
 @query("tune_random_search")
