@@ -296,9 +296,11 @@ def leaderboard(val: DataFrame, test: DataFrame, cost_fn: float = C.COST_FN, cos
                 group: str = "model") -> DataFrame:
     """Per model: F1-tuned threshold from val, F1 / recall / precision at it
     on test, accuracy at the default threshold, ROC and AP on test,
-    cost-optimal threshold from val with its test cost; ranked by F1 (ties by
-    name); the best model flagged."""
-    tf1 = best_threshold(val, ("f1",), group=group, digits=None).select(group, F.col("threshold").alias("t_f1"))
+    cost-optimal threshold from val with its test cost; ranked by test F1 (ties
+    by name). The best model is the one with the highest F1 on val, so that
+    test rows choose nothing."""
+    tf1 = best_threshold(val, ("f1",), group=group, digits=None).select(
+        group, F.col("threshold").alias("t_f1"), F.col("value").alias("val_f1"))
     biz = business_threshold(val, cost_fn, cost_fp, group=group, digits=None).select(
         group, F.col("threshold").alias("biz_threshold")
     )
@@ -308,7 +310,7 @@ def leaderboard(val: DataFrame, test: DataFrame, cost_fn: float = C.COST_FN, cos
     at_f1 = F.col("score") >= F.col("t_f1")
     at_biz = F.col("score") >= F.col("biz_threshold")
     at_default = F.col("score") >= F.lit(C.DEFAULT_THRESHOLD)
-    c = tj.groupBy(group, "t_f1", "biz_threshold").agg(
+    c = tj.groupBy(group, "t_f1", "val_f1", "biz_threshold").agg(
         _cnt(y & at_f1).alias("tp"), _cnt(~y & at_f1).alias("fp"), _cnt(y & ~at_f1).alias("fn"),
         _cnt(~y & ~at_f1).alias("tn"),
         _cnt(y == at_default).alias("_right_default"), F.count(F.lit(1)).alias("_n"),
@@ -318,6 +320,7 @@ def leaderboard(val: DataFrame, test: DataFrame, cost_fn: float = C.COST_FN, cos
     m = c.select(
         group,
         F.round("t_f1", 6).alias("t_f1"),
+        F.round("val_f1", 6).alias("val_f1"),
         F.round(M.f1(tp, fp, fn), 6).alias("f1"),
         F.round(M.recall(tp, fn), 6).alias("recall"),
         F.round(M.precision(tp, fp), 6).alias("precision"),
@@ -327,4 +330,5 @@ def leaderboard(val: DataFrame, test: DataFrame, cost_fn: float = C.COST_FN, cos
     )
     m = m.join(curve_stats(test, group), group)
     w = Window.orderBy(F.col("f1").desc(), F.col(group).asc())  # one row per model
-    return m.withColumn("rank", F.row_number().over(w)).withColumn("is_best", F.col("rank") == 1)
+    by_val = Window.orderBy(F.col("val_f1").desc(), F.col(group).asc())
+    return m.withColumn("rank", F.row_number().over(w)).withColumn("is_best", F.row_number().over(by_val) == 1)

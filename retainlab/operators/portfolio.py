@@ -401,6 +401,16 @@ def revenue_top(pf: DataFrame, n: int = 50) -> DataFrame:
     )
 
 
+def revenue_top_totals(pf: DataFrame, n: int = 50) -> DataFrame:
+    """Revenue at risk and annual revenue of the top n."""
+    top = with_revenue(pf).orderBy(F.col("revenue_at_risk").desc(), F.col(ID).asc()).limit(n)
+    return top.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.sum("revenue_at_risk"), 2).alias("top_revenue_at_risk"),
+        F.round(F.sum("annual_revenue"), 2).alias("top_annual_revenue"),
+    )
+
+
 def revenue_breakdown(pf: DataFrame) -> DataFrame:
     return pf.sparkSession.sql(
         """
@@ -603,6 +613,28 @@ def customer_lookup(pf: DataFrame, requests: DataFrame) -> DataFrame:
     return j.withColumn("found", F.col("risk_tier").isNotNull())
 
 
+def customer_detail(pf: DataFrame, requests: DataFrame) -> DataFrame:
+    """The whole record of each requested id: profile, score, revenue and the
+    suggested interventions with their cost; unknown ids are marked."""
+    x = with_revenue(interventions(pf))
+    actions = F.array_join(F.transform("interventions", lambda i: i["action"]), "|")
+    cost = F.aggregate("interventions", F.lit(0.0), lambda a, i: a + i["estimated_cost"])
+    r = x.select(
+        F.col(ID), *C.FEATURE_COLUMNS,
+        F.round("churn_probability", 4).alias("churn_probability"),
+        "risk_tier",
+        (F.col("predicted_churn") == 1).alias("predicted_churn"),
+        F.col("Churn").alias("actual_churn"),
+        F.round("annual_revenue", 2).alias("annual_revenue"),
+        "lifetime_months",
+        F.round("revenue_at_risk", 2).alias("revenue_at_risk"),
+        actions.alias("interventions"),
+        F.round(cost, 4).alias("intervention_cost"),
+    )
+    j = requests.select(F.col(ID)).join(r, ID, "left").withColumn("found", F.col("risk_tier").isNotNull())
+    return j.na.fill({"interventions": "", "intervention_cost": 0.0})
+
+
 def customer_search(pf: DataFrame, pattern: str, limit: int = 10) -> DataFrame:
     """Case-insensitive regular-expression search, first ``limit`` ids."""
     m = pf.filter(F.col(ID).rlike("(?i)" + pattern))

@@ -238,7 +238,7 @@ def q_cost_savings(spark, sf_dir):
 
 
 @query("leaderboard", sweep_sql("val", 0.001, 0.999, 999) + f"""
-, f1v AS (SELECT model, threshold AS t_f1, row_number() OVER (PARTITION BY model ORDER BY {metric_sql('f1')} DESC, threshold) AS r
+, f1v AS (SELECT model, threshold AS t_f1, {metric_sql('f1')} AS val_f1, row_number() OVER (PARTITION BY model ORDER BY {metric_sql('f1')} DESC, threshold) AS r
           FROM sw),
 grid2 AS ({grid_sql(0.01, 0.99, 99)}),
 sw2 AS (SELECT s.model, g.threshold,
@@ -247,15 +247,15 @@ sw2 AS (SELECT s.model, g.threshold,
 bzv AS (SELECT model, threshold AS biz_threshold,
                row_number() OVER (PARTITION BY model ORDER BY CAST(fn AS DOUBLE) * 500.0 + CAST(fp AS DOUBLE) * 50.0,
                                   threshold) AS r FROM sw2),
-th AS (SELECT f1v.model, t_f1, biz_threshold FROM f1v JOIN bzv ON f1v.model = bzv.model AND bzv.r = 1
+th AS (SELECT f1v.model, t_f1, val_f1, biz_threshold FROM f1v JOIN bzv ON f1v.model = bzv.model AND bzv.r = 1
        WHERE f1v.r = 1),
-ct AS (SELECT s.model, th.t_f1, th.biz_threshold,
+ct AS (SELECT s.model, th.t_f1, th.val_f1, th.biz_threshold,
               count_if(y_true = 1 AND score >= t_f1) AS tp, count_if(y_true = 0 AND score >= t_f1) AS fp,
               count_if(y_true = 1 AND score < t_f1) AS fn, count_if(y_true = 0 AND score < t_f1) AS tn,
               count_if((y_true = 1) = (score >= 0.5)) AS right_default, count(*) AS n_all,
               count_if(y_true = 1 AND score < biz_threshold) AS biz_fn,
               count_if(y_true = 0 AND score >= biz_threshold) AS biz_fp
-       FROM scores_long s JOIN th ON s.model = th.model WHERE s.split = 'test' GROUP BY s.model, th.t_f1, th.biz_threshold),
+       FROM scores_long s JOIN th ON s.model = th.model WHERE s.split = 'test' GROUP BY s.model, th.t_f1, th.val_f1, th.biz_threshold),
 t AS (SELECT * FROM scores_long WHERE split = 'test'),
 pr AS (SELECT p.model, count_if(p.score > n.score) AS w, count_if(p.score = n.score) AS ties
        FROM t p JOIN t n ON p.model = n.model AND p.y_true = 1 AND n.y_true = 0 GROUP BY p.model),
@@ -266,13 +266,13 @@ auc AS (SELECT pn.model, round(CAST(2 * coalesce(w, 0) + coalesce(ties, 0) AS DO
 {ties_sql('test')}
 , ap AS (SELECT model, round(sum(pos * (CAST(cum_pos AS DOUBLE) / (cum_pos + cum_neg))) / sum(pos), 6) AS pr_auc
          FROM cu GROUP BY model),
-m AS (SELECT ct.model, round(t_f1, 6) AS t_f1, round({metric_sql('f1')}, 6) AS f1, round({metric_sql('recall')}, 6) AS recall,
+m AS (SELECT ct.model, round(t_f1, 6) AS t_f1, round(val_f1, 6) AS val_f1, round({metric_sql('f1')}, 6) AS f1, round({metric_sql('recall')}, 6) AS recall,
              round({metric_sql('precision')}, 6) AS precision, round(CAST(right_default AS DOUBLE) / n_all, 6) AS accuracy,
              round(biz_threshold, 6) AS biz_threshold, CAST(biz_fn AS DOUBLE) * 500.0 + CAST(biz_fp AS DOUBLE) * 50.0 AS biz_cost,
              auc.roc_auc, ap.pr_auc
       FROM ct JOIN auc ON ct.model = auc.model JOIN ap ON ct.model = ap.model)
 SELECT *, CAST(row_number() OVER (ORDER BY f1 DESC, model) AS INTEGER) AS rank,
-       row_number() OVER (ORDER BY f1 DESC, model) = 1 AS is_best
+       row_number() OVER (ORDER BY val_f1 DESC, model) = 1 AS is_best
 FROM m
 """)
 def q_leaderboard(spark, sf_dir):

@@ -29,6 +29,7 @@ MODULES = (
     "retainlab.plans.q_portfolio",
     "retainlab.plans.q_models",
     "retainlab.plans.q_trees",
+    "retainlab.plans.q_serving",
     "retainlab.plans.q_stream",
 )
 
