@@ -10,13 +10,16 @@ from retainlab.plans.registry import all_queries
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["fit_random_forest", "fit_forest_nobootstrap"])
+@pytest.mark.parametrize("name", ["fit_random_forest", "fit_leafwise", "fit_second_order", "fit_extra_trees", "fit_adaboost", "fit_svm_rff"])
 def test_fit(spark, name):
     got = all_queries()[name](spark, SF).cache()
-    score = next(c for c in ("score", "y_prob", "probability") if c in got.columns)
     n = got.count()
-    assert n and got.filter(F.col(score).between(0, 1)).count() == n
+    assert n and got.filter(F.col("score").between(0, 1)).count() == n
     assert got.groupBy(got.columns[0]).count().filter("count > 1").count() == 0
+    from retainlab.operators import evaluate as E
+
+    assert E.roc_auc(got.withColumn("model", F.lit("m"))).first()["roc_auc"] > 0.8
+    got.unpersist()
 
 
 def test_fits_use_the_modelled_settings(spark):
