@@ -6,6 +6,8 @@ K2 is the metric-partition join of ``metric_join``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,3 +84,72 @@ def knora_u(comp: DataFrame, query_scores: DataFrame) -> DataFrame:
         _ordered_mean(True).alias("_wm"), _ordered_mean(False).alias("_m"), F.sum("w").alias("_sw")
     )
     return g.select("qid", F.when(F.col("_sw") > 0, F.col("_wm")).otherwise(F.col("_m")).alias("score"))
+
+
+# ---------------------------------------------------------------------- N6
+def output_profiles(scores: DataFrame) -> DataFrame:
+    """(vec_id, profile): the pool's scores of a row in model order."""
+    pool = F.sort_array(F.collect_list(F.struct("model", "score")))  # one row's pool
+    return scores.groupBy("vec_id").agg(F.transform(pool, lambda m: m["score"]).alias("profile"))
+
+
+def meta_features(nb: DataFrame, alike: DataFrame, ref_scores: DataFrame, own_scores: DataFrame) -> DataFrame:
+    """(qid, model, score, y_true, x): the five meta features of META-DES in one
+    vector: whether the model is right on each neighbour by rank, its probability
+    of each neighbour's true class, its share right, whether it is right on each
+    row of similar pool outputs (``alike``), and its confidence."""
+    right = ((F.col("score") >= 0.5).cast("int") == F.col("y_true")).cast("double")
+    known = ref_scores.select(
+        F.col("vec_id").alias("rid"), "model", right.alias("ok"),
+        F.when(F.col("y_true") == 1, F.col("score")).otherwise(F.lit(1.0) - F.col("score")).alias("pt"))
+
+    def by_rank(pairs: DataFrame, name: str) -> DataFrame:
+        near = F.sort_array(F.collect_list(F.struct("rank", "ok", "pt")))  # k rows
+        return pairs.select("qid", "rid", "rank").join(known, "rid").groupBy("qid", "model").agg(near.alias(name))
+
+    own = own_scores.select(F.col("vec_id").alias("qid"), "model", "score", "y_true")
+    j = by_rank(nb, "_a").join(by_rank(alike, "_b"), ["qid", "model"]).join(own, ["qid", "model"])
+    oks = F.transform("_a", lambda n: n["ok"])
+    share = F.aggregate(oks, F.lit(0.0), lambda s, x: s + x) / F.size("_a")
+    x = F.concat(oks, F.transform("_a", lambda n: n["pt"]), F.array(share), F.transform("_b", lambda n: n["ok"]),
+                 F.array(F.abs(F.col("score") * 2 - 1)))
+    return j.select("qid", "model", "score", "y_true", x.alias("x"))
+
+
+def disagreed(scores: DataFrame) -> DataFrame:
+    """(qid): rows on which the pool's predictions differ."""
+    votes = scores.groupBy(F.col("vec_id").alias("qid")).agg(F.countDistinct(F.col("score") >= 0.5).alias("_v"))
+    return votes.filter(F.col("_v") > 1).select("qid")
+
+
+def fit_selector(train: DataFrame) -> dict[int, tuple[float, list[float], list[float]]]:
+    """Gaussian naive Bayes of "the model is right" on meta features: log prior,
+    means and variances per class, from one aggregate (classes x features rows)."""
+    right = ((F.col("score") >= 0.5).cast("int") == F.col("y_true")).cast("int")
+    rows = train.select(right.alias("c"), F.posexplode("x").alias("i", "v")).groupBy("c", "i").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s")).orderBy("c", "i").collect()
+    floor = 1e-9 * max((r["s"] for r in rows), default=0.0)
+    total = sum(r["n"] for r in rows if r["i"] == 0)
+    out = {}
+    for c in {r["c"] for r in rows}:
+        mine = [r for r in rows if r["c"] == c]
+        out[c] = math.log(mine[0]["n"] / total), [r["m"] for r in mine], [max(r["s"] + floor, 1e-12) for r in mine]
+    return out
+
+
+def meta_des(selector: dict, meta: DataFrame) -> DataFrame:
+    """Mean score of the models judged right (all of the pool if none is)."""
+
+    def likelihood(c: int) -> Column:
+        if c not in selector:
+            return F.lit(float("-inf"))
+        prior, means, variances = selector[c]
+        normal = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(v).alias("v"), F.lit(math.log(2 * math.pi * v)).alias("l"))
+                           for m, v in zip(means, variances)])
+        parts = F.zip_with("x", normal, lambda x, g: (g["l"] + (x - g["m"]) * (x - g["m"]) / g["v"]) * -0.5)
+        return F.aggregate(parts, F.lit(prior), lambda a, p: a + p)
+
+    judged = meta.withColumn("_good", (likelihood(1) >= likelihood(0)).cast("int"))
+    any_good = F.max("_good").over(Window.partitionBy("qid"))  # the pool of one row
+    kept = judged.withColumn("_any", any_good).filter((F.col("_any") == 0) | (F.col("_good") == 1)).withColumn("w", F.lit(1.0))
+    return kept.groupBy("qid").agg(_ordered_mean(False).alias("score"), F.count(F.lit(1)).alias("n_selected"))

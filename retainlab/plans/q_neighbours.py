@@ -3,9 +3,9 @@ fixture: query rows are the test side, reference rows the selection side."""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retainlab.operators import evaluate as E
@@ -15,6 +15,7 @@ from retainlab.plans.registry import query
 from retainlab.sources.fixtures import VECTOR_SCORERS, vector_scores, vectors
 
 K_DES = 7
+K_PROFILE = 5
 K_VOTE = 15
 
 DIST = ("sqrt(list_reduce(list_transform(range(1, len(q.embedding) + 1), lambda i: "
@@ -134,43 +135,68 @@ def _summary_sql(cte: str, name: str) -> str:
     """
 
 
-@query("des_summary", KE_SQL + KU_SQL + """
+MD_CTES = f"""
+rs AS (SELECT vec_id AS rid, model, CAST((CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) = y_true AS DOUBLE) AS ok,
+              CASE WHEN y_true = 1 THEN score ELSE 1.0::DOUBLE - score END AS pt FROM vs WHERE role = 'reference'),
+prof AS (SELECT vec_id, role, list(score ORDER BY model) AS embedding FROM vs GROUP BY vec_id, role),
+fn AS (SELECT * FROM (SELECT q.vec_id AS qid, r.vec_id AS rid, row_number() OVER (PARTITION BY q.vec_id ORDER BY {DIST}, r.vec_id) AS rank
+                      FROM vectors q, vectors r WHERE r.role = 'reference' AND q.vec_id <> r.vec_id) t WHERE rank <= {K_DES}),
+pn AS (SELECT * FROM (SELECT q.vec_id AS qid, r.vec_id AS rid, row_number() OVER (PARTITION BY q.vec_id ORDER BY {DIST}, r.vec_id) AS rank
+                      FROM prof q, prof r WHERE r.role = 'reference' AND q.vec_id <> r.vec_id) t WHERE rank <= {K_PROFILE}),
+fa AS (SELECT qid, model, list(ok ORDER BY rank) AS oks, list(pt ORDER BY rank) AS pts, avg(ok) AS acc FROM fn JOIN rs USING (rid) GROUP BY qid, model),
+pa AS (SELECT qid, model, list(ok ORDER BY rank) AS oks FROM pn JOIN rs USING (rid) GROUP BY qid, model),
+mf AS (SELECT fa.qid, fa.model, vs.role, vs.score, vs.y_true,
+              list_concat(list_concat(list_concat(list_concat(fa.oks, fa.pts), [fa.acc]), pa.oks), [abs(vs.score * 2 - 1)]) AS x
+       FROM fa JOIN pa ON fa.qid = pa.qid AND fa.model = pa.model JOIN vs ON vs.vec_id = fa.qid AND vs.model = fa.model),
+dis AS (SELECT vec_id FROM vs GROUP BY vec_id HAVING count(DISTINCT score >= 0.5) > 1),
+tr AS (SELECT CAST((CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) = y_true AS INTEGER) AS c, unnest(x) AS v, generate_subscripts(x, 1) AS i
+       FROM mf WHERE role = 'reference' AND qid IN (SELECT vec_id FROM dis)),
+st AS (SELECT c, i, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM tr GROUP BY c, i),
+gb AS (SELECT c, i, m, greatest(s + 1e-9::DOUBLE * (SELECT max(s) FROM st), 1e-12::DOUBLE) AS s,
+              ln(CAST(n AS DOUBLE) / (SELECT sum(n) FROM st WHERE i = 1)) AS prior FROM st),
+te AS (SELECT qid, model, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM mf WHERE role = 'query'),
+ll AS (SELECT te.qid, te.model, gb.c, max(prior) + sum(-0.5::DOUBLE * (ln(2 * pi() * gb.s) + (v - m) * (v - m) / gb.s)) AS l
+       FROM te JOIN gb USING (i) GROUP BY te.qid, te.model, gb.c),
+ju AS (SELECT qid, model, max(CASE WHEN c = 1 THEN l ELSE '-inf'::DOUBLE END) >= max(CASE WHEN c = 0 THEN l ELSE '-inf'::DOUBLE END) AS good
+       FROM ll GROUP BY qid, model),
+an AS (SELECT qid, bool_or(good) AS some_good FROM ju GROUP BY qid),
+md AS (SELECT ju.qid, list_reduce(list(vs.score ORDER BY ju.model), lambda a, b: a + b) / count(*) AS score, count(*) AS n_selected
+       FROM ju JOIN an USING (qid) JOIN vs ON vs.vec_id = ju.qid AND vs.model = ju.model WHERE good OR NOT some_good GROUP BY ju.qid)
+"""
+
+
+def _meta_des(spark, sf_dir):
+    """META-DES over the pool: meta features of every reference row on which the
+    pool disagrees (neighbours without the row itself) train the selector, those
+    of the query rows choose models."""
+    q, r, v = _vec(spark, sf_dir)
+    vs = vector_scores(v)
+    rs, qs = vs.filter(F.col("role") == "reference"), vs.filter(F.col("role") == "query")
+    rp, qp = N.output_profiles(rs), N.output_profiles(qs)
+    train = N.meta_features(N.knn_join(r, r, K_DES, exclude_self=True),
+                            N.knn_join(rp, rp, K_PROFILE, vec="profile", exclude_self=True), rs, rs)
+    selector = N.fit_selector(train.join(N.disagreed(rs), "qid", "left_semi"))
+    return N.meta_des(selector, N.meta_features(N.knn_join(q, r, K_DES), N.knn_join(qp, rp, K_PROFILE, vec="profile"), rs, qs))
+
+
+@query("des_summary", KE_SQL + KU_SQL + "," + MD_CTES + """
 , key AS (SELECT ke.score, q.y_true FROM ke JOIN q ON q.vec_id = ke.qid),
-kuy AS (SELECT ku.score, q.y_true FROM ku JOIN q ON q.vec_id = ku.qid)
-""" + _summary_sql("ke", "knora_e") + " UNION ALL " + _summary_sql("ku", "knora_u"))
+kuy AS (SELECT ku.score, q.y_true FROM ku JOIN q ON q.vec_id = ku.qid),
+mdy AS (SELECT md.score, q.y_true FROM md JOIN q ON q.vec_id = md.qid)
+""" + " UNION ALL ".join(_summary_sql(*n) for n in (("ke", "knora_e"), ("ku", "knora_u"), ("md", "meta_des"))))
 def q_des_summary(spark, sf_dir):
     comp, qs, q = _competence(spark, sf_dir)
     labels = q.select(F.col("vec_id").alias("qid"), "y_true")
-    ke = N.knora_e(comp, qs).select("qid", "score").withColumn("model", F.lit("knora_e"))
-    ku = N.knora_u(comp, qs).select("qid", "score").withColumn("model", F.lit("knora_u"))
-    s = ke.unionByName(ku).join(labels, "qid")
+    found = {"knora_e": N.knora_e(comp, qs), "knora_u": N.knora_u(comp, qs), "meta_des": _meta_des(spark, sf_dir)}
+    s = reduce(DataFrame.unionByName, [p.select("qid", "score").withColumn("model", F.lit(n)) for n, p in found.items()])
+    s = s.join(labels, "qid")
     m = E.with_metrics(E.confusion(s), ("f1", "recall", "precision", "accuracy")).drop("tp", "fp", "fn", "tn")
     return m.join(E.roc_auc(s), "model").withColumnRenamed("model", "method")
 
 
-@query("meta_des")
+@query("meta_des", VS_SQL + "," + MD_CTES + """
+SELECT qid AS vec_id, round(score, 6) AS score, CAST(score >= 0.5 AS INTEGER) AS pred, n_selected FROM md
+""")
 def q_meta_des(spark, sf_dir):
-    """META-DES: meta features per (row, model) from its neighbourhood
-    (local hits, prefix, the model's own score), a Gaussian naive Bayes
-    selector trained on the reference side with leave-one-out neighbours,
-    and the mean score of the models judged competent (all if none)."""
-    q, r, v = _vec(spark, sf_dir)
-    vs = vector_scores(v)
-    ref_scores = vs.filter(F.col("role") == "reference")
-    # training meta rows: reference rows against their own neighbours (self excluded)
-    nb_r = N.knn_join(r, r, K_DES, exclude_self=True)
-    comp_r = N.local_competence(nb_r, ref_scores, K_DES)
-    own = ref_scores.select(F.col("vec_id").alias("qid"), "model", "score", "y_true")
-    train = comp_r.join(own, ["qid", "model"]).withColumn(
-        "label", ((F.col("score") >= 0.5).cast("int") == F.col("y_true")).cast("double"))
-    feats = ["hits", "prefix", "score"]
-    va = VectorAssembler(inputCols=feats, outputCol="mf")
-    nbm = NaiveBayes(featuresCol="mf", labelCol="label", modelType="gaussian").fit(va.transform(train))
-    comp_q, qs, _ = _competence(spark, sf_dir)
-    mq = comp_q.join(qs.select(F.col("vec_id").alias("qid"), "model", "score"), ["qid", "model"])
-    pred = nbm.transform(va.transform(mq)).withColumn("competent", F.col("prediction") == 1.0)
-    w = F.max(F.col("competent").cast("int")).over(Window.partitionBy("qid"))  # the pool of one row
-    sel = pred.withColumn("_any", w).filter((F.col("_any") == 0) | F.col("competent"))
-    out = sel.groupBy("qid").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("n_selected"))
-    return out.select(F.col("qid").alias("vec_id"), F.round("score", 6).alias("score"),
-                      (F.col("score") >= 0.5).cast("int").alias("pred"), "n_selected")
+    return _meta_des(spark, sf_dir).select(F.col("qid").alias("vec_id"), F.round("score", 6).alias("score"),
+                                           (F.col("score") >= 0.5).cast("int").alias("pred"), "n_selected")
