@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from retainlab.session import checkpoint_dir
+
 
 #: Sampled keys per range.
 SAMPLE = 20
@@ -53,6 +55,7 @@ def prefix_sums(
     rank_col: str = "rank",
     n_ranges: int | None = None,
     total_col: str = "group_total",
+    write: bool = False,
 ) -> DataFrame:
     """Add ``rank_col`` (1-based position in ``order`` within ``group``),
     inclusive running sums ``cum_<name>`` for each value column, and the
@@ -62,9 +65,14 @@ def prefix_sums(
     ``order`` has ascending keys (negate a number to sort it falling) and must
     be a total order within a group (end it with a unique key). ``group`` must
     have few distinct values (models, classes): the offset table has n_ranges x
-    groups rows and is broadcast. ``df`` must give the same keys each time it is
-    computed. ``n_ranges``: by default the session's shuffle partitions.
+    groups rows and is broadcast. ``df`` is computed three times (keys, totals,
+    rows) and must give the same keys each time; ``write`` checkpoints it first,
+    for narrow inputs that cost a shuffle. ``n_ranges``: by default the session's
+    shuffle partitions.
     """
+    if write:
+        checkpoint_dir(df.sparkSession)
+        df = df.checkpoint()
     values = values or {}
     group = list(group)
     n = n_ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -153,7 +161,7 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("_cnt"))
     )
     ranked = prefix_sums(counts, [F.col(value)], {"cnt": F.col("_cnt")}, group=[group],
-                         n_ranges=n_ranges)
+                         n_ranges=n_ranges, write=True)
     pos = (F.col("total_cnt") - 1) * F.lit(float(q))
     lo_i = F.floor(pos)
     hi_i = F.ceil(pos)

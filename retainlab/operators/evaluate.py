@@ -90,7 +90,7 @@ def tie_groups(scores: DataFrame, group: str = "model") -> DataFrame:
         _cnt(F.col("y_true") == 1).alias("pos"), _cnt(F.col("y_true") != 1).alias("neg")
     )
     return prefix_sums(
-        g, [-F.col("score")], {"pos": F.col("pos"), "neg": F.col("neg")}, group=[group]
+        g, [-F.col("score")], {"pos": F.col("pos"), "neg": F.col("neg")}, group=[group], write=True
     )
 
 

@@ -57,7 +57,7 @@ def stratified_exact_split(df: DataFrame, hash_col: str, key: str, label: str =
     if not 0 < a <= b < 1:
         raise ValueError(f"train {train} and val {val} leave no proper split")
     j = prefix_sums(df, [F.col(hash_col), F.col(key)], group=[label], rank_col="_r",
-                    total_col="_n")
+                    total_col="_n", write=True)
 
     def before(share: Fraction) -> Column:
         return (F.col("_r") - 1) * share.denominator < F.col("_n") * share.numerator
@@ -229,7 +229,7 @@ def smote(train_vec: DataFrame, key: str = "k", vec: str = "vec", label: str = "
         return mino.limit(0).select(F.col(key).alias("base_key"), F.lit(0).alias("copy"), F.lit(minority).alias(label),
                                     F.col(vec).alias("features"))
     nb = knn_join(mino, mino, min(k, n_min - 1), qid=key, rid=key, vec=vec, exclude_self=True)
-    ranked = prefix_sums(mino, [F.col(key)], rank_col="_r")
+    ranked = prefix_sums(mino, [F.col(key)], rank_col="_r", write=True)
     per, extra = divmod(need, n_min)
     copies = F.lit(per) + (F.col("_r") <= extra).cast("int")
     rep = ranked.withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).filter(copies > 0)
