@@ -3,8 +3,7 @@
 K4: each scored row becomes one integer ``mask`` with bit i set when model i
 (models sorted by name) is right at the threshold. Pair counts then come
 from at most min(n, 2^m) mask groups instead of m^2/2 passes over the rows.
-For more than ``MASK_LIMIT`` models the pair counts fall back to grouped
-sums over a self-join on the row id.
+Pair counts group rows by the models that are right, for any number of models.
 """
 
 from __future__ import annotations
@@ -15,11 +14,8 @@ from pyspark.sql import functions as F
 from retainlab import config as C
 from retainlab.functions import metrics as M
 
-MASK_LIMIT = 20
-
-
 def bit_set(mask: Column, i: Column) -> Column:
-    """Bit i of mask (exact for the <= MASK_LIMIT bits used here)."""
+    """Bit i of mask (exact up to 52 bits)."""
     return (mask / F.pow(F.lit(2), i)).cast("bigint") % 2 == 1
 
 
@@ -57,21 +53,18 @@ def pair_table(spark, names: list[str]) -> DataFrame:
 
 def pair_contingency(scores: DataFrame, names: list[str], key: str = C.ID_COL,
                      threshold: float = C.DEFAULT_THRESHOLD) -> DataFrame:
-    """N11, N10, N01, N00 of correctness for every unordered pair (a < b)."""
+    """N11, N10, N01, N00 of correctness for every unordered pair (a < b).
+
+    Rows that the same models get right are counted together (at most 2^m
+    groups, or one a row), whatever the number of models; a group then adds to
+    every pair, combined before the shuffle."""
     spark = scores.sparkSession
-    pairs = pair_table(spark, names)
-    if len(names) <= MASK_LIMIT:
-        groups = correct_mask(scores, names, key, threshold).groupBy("mask").agg(F.count(F.lit(1)).alias("n"))
-        x = groups.crossJoin(F.broadcast(pairs))  # <= 2^m x m^2/2 small rows
-        a = bit_set(F.col("mask"), F.col("ia"))
-        b = bit_set(F.col("mask"), F.col("ib"))
-    else:
-        c = correctness(scores, threshold).select(key, "model", "correct")
-        ca = c.withColumnRenamed("model", "model_a").withColumnRenamed("correct", "ca")
-        cb = c.withColumnRenamed("model", "model_b").withColumnRenamed("correct", "cb")
-        x = ca.join(cb, key).join(F.broadcast(pairs.select("model_a", "model_b")), ["model_a", "model_b"])
-        x = x.withColumn("n", F.lit(1).cast("bigint"))
-        a, b = F.col("ca") == 1, F.col("cb") == 1
+    idx = _index_table(spark, names)
+    c = correctness(scores, threshold).join(F.broadcast(idx), "model")  # m rows
+    right = F.sort_array(F.collect_list(F.when(F.col("correct") == 1, F.col("idx"))))
+    groups = c.groupBy(key).agg(right.alias("right")).groupBy("right").agg(F.count(F.lit(1)).alias("n"))
+    x = groups.crossJoin(F.broadcast(pair_table(spark, names)))  # m^2 / 2 rows
+    a, b = F.array_contains("right", F.col("ia")), F.array_contains("right", F.col("ib"))
     return x.groupBy("model_a", "model_b").agg(
         F.sum(F.when(a & b, F.col("n")).otherwise(0)).cast("bigint").alias("n11"),
         F.sum(F.when(a & ~b, F.col("n")).otherwise(0)).cast("bigint").alias("n10"),

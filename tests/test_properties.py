@@ -124,3 +124,20 @@ def test_smote_counts_and_segments(spark):
     hi = [max(v[i] for v in mino) for i in range(2)]
     for r in out.collect():
         assert all(lo[i] - 1e-9 <= r["features"][i] <= hi[i] + 1e-9 for i in range(2))
+
+
+def test_pair_counts_of_many_models(spark):
+    from retainlab.operators import diversity as D
+
+    rnd = random.Random(2)
+    names = [f"m{i:02d}" for i in range(25)]
+    y = {k: rnd.randint(0, 1) for k in range(40)}
+    score = {(k, m): rnd.choice((0.1, 0.5, 0.9)) for k in y for m in names}
+    rows = [(f"c{k}", m, y[k], s) for (k, m), s in score.items()]
+    df = spark.createDataFrame(rows, "customerID string, model string, y_true int, score double")
+    got = {(r["model_a"], r["model_b"]): (r["n11"], r["n10"], r["n01"], r["n00"]) for r in D.pair_contingency(df, names).collect()}
+    right = {(k, m): int(score[k, m] >= 0.5) == y[k] for k, m in score}
+    assert len(got) == 300
+    for (a, b), counts in got.items():
+        pairs = [(right[k, a], right[k, b]) for k in y]
+        assert counts == tuple(pairs.count(p) for p in ((True, True), (True, False), (False, True), (False, False)))
