@@ -14,7 +14,9 @@ Gain of a split: T(G_l)^2 / (H_l + l2) + T(G_r)^2 / (H_r + l2) - T(G)^2 / (H + l
 T the soft threshold at ``l1``; leaf value -rate * T(G) / (H + l2). Rows are
 sampled per tree by a hash of their key, columns by a seeded draw. The margin
 starts at the weighted log odds. ``first_order`` chooses splits as least squares
-on the gradient does (rows in place of hessians); the leaf values stay.
+on the gradient does (rows in place of hessians); the leaf values stay. For
+forests (``tuning``) a tree may see a bootstrap sample (Poisson counts by key
+hash) and a node ``node_columns`` of the features that vary there.
 
 AdaBoost (binary SAMME) keeps a row's log weight where boosting keeps its margin.
 Row weights start alike; a round fits a tree to rows weighted by row times class
@@ -30,6 +32,7 @@ thousands of jobs of a millisecond's work.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -56,6 +59,9 @@ class Settings:
     columns: float = 1.0
     seed: int = 42
     first_order: bool = False
+    bootstrap: bool = False
+    node_columns: int = 0
+    min_split: int = 2
 
 
 # --- fixed values: the modelled settings -----------------------------------
@@ -85,6 +91,14 @@ class Split:
     right: np.ndarray
 
 
+def drawn_columns(hist: np.ndarray, bins: Bins, n: int, seed: list[int]) -> np.ndarray:
+    """``n`` of the features with more than one value at the node."""
+    varies = np.flatnonzero(np.add.reduceat(hist[:, 2] > 0.5, bins.starts) > 1)
+    out = np.zeros(len(bins.starts), dtype=bool)
+    out[np.random.default_rng(seed).permutation(varies)[:n]] = True
+    return out
+
+
 def best_split(hist: np.ndarray, bins: Bins, columns: np.ndarray, s: Settings) -> Split | None:
     """The cut of highest gain (ties: first feature, lowest cut), if any."""
     places = np.flatnonzero(bins.open & columns[bins.feature])
@@ -146,13 +160,23 @@ def shares(b: Block, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return w * b.y, w
 
 
-def block_histogram(b: Block, recent: list, loss: Callable, shape: Tree, nodes: list[int], bins: Bins, salt: int, rate: float) -> np.ndarray:
+#: shares of a Poisson(1) count up to 0, 1, ..
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
+
+
+def block_histogram(b: Block, recent: list, loss: Callable, shape: Tree, nodes: list[int], bins: Bins, salt: int, s: Settings) -> np.ndarray:
     """(node, place, 3): sums of gradient, hessian and rows by bin."""
     slot = np.full(len(shape.feature), -1)
     slot[nodes] = np.arange(len(nodes))
     g, h = loss(b, margins(b, recent))
     at = slot[shape.leaves(b.bins, binned=True)]
-    keep = (at >= 0) & (uniform(b.key, salt) < rate)
+    drawn = uniform(b.key, salt)
+    if s.bootstrap:
+        count = np.searchsorted(_POISSON, drawn, side="right")
+        g, h, taken = g * count, h * count, count > 0
+    else:
+        taken = drawn < s.rows
+    keep = (at >= 0) & taken
     n, width = len(nodes) * bins.total, len(bins.starts)
     place = (at[keep, None] * bins.total + bins.starts + b.bins[keep]).ravel()
     out = np.empty((n, 3))
@@ -223,7 +247,7 @@ def grow(data: Spread | Together, bins: Bins, s: Settings, round_: int) -> Tree:
     columns[rng.permutation(width)[: max(1, int(width * s.columns + 0.5))]] = True
     salt, shape = s.seed * 1_000_003 + round_, Growing()
 
-    hists = {0: data.histograms(_routing(shape), [0], bins, salt, s.rows)[0]}
+    hists = {0: data.histograms(_routing(shape), [0], bins, salt, s)[0]}
     stats = {0: hists[0][: bins.sizes[0]].sum(axis=0)}
     plan: dict[int, Split] = {}
     children: dict[int, tuple[int, int]] = {}
@@ -232,7 +256,12 @@ def grow(data: Spread | Together, bins: Bins, s: Settings, round_: int) -> Tree:
     def open_leaf(node: int) -> None:
         if s.max_depth and shape.depth[node] >= s.max_depth:
             return
-        found = best_split(hists[node], bins, columns, s)
+        if stats[node][2] < s.min_split - 0.5:
+            return
+        able = columns
+        if s.node_columns:
+            able = drawn_columns(hists[node], bins, s.node_columns, [s.seed, round_, node])
+        found = best_split(hists[node], bins, able, s)
         if found:
             plan[node] = found
             heapq.heappush(heap, (-found.gain, node))
@@ -254,7 +283,7 @@ def grow(data: Spread | Together, bins: Bins, s: Settings, round_: int) -> Tree:
                 if not last:
                     wanted.append(children[i][int(plan[i].left[2] > plan[i].right[2])])
             if wanted:
-                for child, h in zip(wanted, data.histograms(_routing(shape), wanted, bins, salt, s.rows)):
+                for child, h in zip(wanted, data.histograms(_routing(shape), wanted, bins, salt, s)):
                     hists[child] = h
                 for i in reach:
                     a, b = children[i]

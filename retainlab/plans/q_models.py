@@ -4,6 +4,8 @@ Rows-only checks (the fits are randomised or iterative)."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ from retainlab.plans.registry import query
 
 OUT = (C.ID_COL, "split", "y_true")
 
+#: trials a family in the registered search; ``tuning.search`` runs 50 unless told otherwise
+TRIALS = 12
+
 
 def _data(spark: SparkSession, sf_dir: str):
     v, prep = prepared_vectors(spark, sf_dir)
@@ -105,6 +110,23 @@ def q_tune_random_search(spark, sf_dir):
     return spark.createDataFrame(rows, "trial int, reg_param double, elastic_net double, max_iter int, f1 double")
 
 
+@query("tune_density")
+def q_tune_density(spark, sf_dir):
+    """Density-guided search over leaf-wise and second-order boosting and
+    forests, five stratified folds of train + val, F1 of the positive class.
+    ``TRIALS`` of the module's 50 trials a family, the first ten random; every
+    trial with its settings, ``best`` marks each family's."""
+    from retainlab.operators import tuning as T
+
+    v, train, n, d = _data(spark, sf_dir)
+    trials = T.search(v.filter(F.col("split").isin("train", "val")), trials=TRIALS, batch=TRIALS // 2)
+    top = T.best(trials)
+    rows = [(t.model, t.number, json.dumps(t.settings, sort_keys=True), t.folds, round(t.value, 6), t is top[t.model]) for t in trials]
+    v.unpersist()
+    train.unpersist()
+    return spark.createDataFrame(rows, "model string, trial int, settings string, fold_f1 array<double>, f1 double, best boolean")
+
+
 @query("train_leaderboard")
 def q_train_leaderboard(spark, sf_dir):
     """The training run in one query: three models fitted on train, scored on
