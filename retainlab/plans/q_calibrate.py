@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from retainlab.operators import calibrate as CA
-from retainlab.operators import diversity as D
 from retainlab.operators import evaluate as E
 from retainlab.plans.q_evaluate import conf_sql, metric_sql, ties_sql
 from retainlab.plans.registry import query
@@ -79,37 +78,79 @@ def q_metric_delta(spark, sf_dir):
     return CA.metric_delta(m.filter(F.col("model") == "m2"), m.filter(F.col("model") == "m1"), "model", METRICS)
 
 
-@query("platt")
+# tie groups of val; isotonic shares by the min-max formula; Newton steps of Platt's fit
+MAPS = """/*recursive*/
+, g AS (SELECT model, score, count(*) AS n, sum(y_true) AS pos,
+               row_number() OVER (PARTITION BY model ORDER BY score) AS i
+        FROM scores_long WHERE split = 'val' GROUP BY model, score),
+cum AS (SELECT *, sum(n) OVER w AS cn, sum(pos) OVER w AS cp FROM g WINDOW w AS (PARTITION BY model ORDER BY score)),
+spans AS (SELECT a.model, a.i AS j, b.i AS k, CAST(b.cp - a.cp + a.pos AS DOUBLE) / CAST(b.cn - a.cn + a.n AS DOUBLE) AS m
+          FROM cum a JOIN cum b ON a.model = b.model AND a.i <= b.i),
+least_after AS (SELECT model, k AS i, min(m) OVER (PARTITION BY model, j ORDER BY k DESC) AS y FROM spans),
+iso AS (SELECT g.model, g.score AS x, max(l.y) AS y FROM g JOIN least_after l ON g.model = l.model AND g.i = l.i
+        GROUP BY g.model, g.score),
+tot AS (SELECT model, CAST(sum(pos) AS DOUBLE) AS p, CAST(sum(n) - sum(pos) AS DOUBLE) AS q FROM g GROUP BY model),
+aims AS (SELECT g.model, g.score AS x, CAST(n AS DOUBLE) AS n,
+                pos * ((p + 1) / (p + 2)) + (n - pos) * (1 / (q + 2)) AS aim FROM g JOIN tot USING (model)),
+newton AS (
+  SELECT model, 0 AS step, 0.0::DOUBLE AS a, ln((p + 1) / (q + 1)) AS b FROM tot
+  UNION ALL
+  SELECT model, step + 1,
+         CASE WHEN haa * hbb - hab * hab > 1e-12 * haa * hbb THEN a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) ELSE a END,
+         CASE WHEN haa * hbb - hab * hab > 1e-12 * haa * hbb THEN b - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+              ELSE b - gb / hbb END  -- one score only
+  FROM (SELECT w.model, w.step, w.a, w.b, sum(gap * x) AS ga, sum(gap) AS gb, sum(cv * x * x) AS haa, sum(cv * x) AS hab,
+               sum(cv) AS hbb
+        FROM (SELECT c.model, c.step, c.a, c.b, s.x, s.n / (1 + exp(-(c.a * s.x + c.b))) - s.aim AS gap,
+                     s.n / (1 + exp(-(c.a * s.x + c.b))) * (1 - 1 / (1 + exp(-(c.a * s.x + c.b)))) AS cv
+              FROM newton c JOIN aims s ON c.model = s.model WHERE c.step < 12) w
+        GROUP BY w.model, w.step, w.a, w.b) v
+),
+platt AS (SELECT model, a, b FROM newton WHERE step = 12),
+t AS (SELECT * FROM scores_long WHERE split = 'test'),
+by_platt AS (SELECT t.customerID, t.model, t.y_true, 1 / (1 + exp(-(a * t.score + b))) AS score FROM t JOIN platt USING (model)),
+lower_ AS (SELECT t.customerID, t.model, t.y_true, t.score, iso.x AS x0, iso.y AS y0
+           FROM t ASOF LEFT JOIN iso ON t.model = iso.model AND t.score >= iso.x),
+by_iso AS (SELECT l.customerID, l.model, l.y_true,
+                  CASE WHEN x0 IS NULL THEN u.y WHEN u.x IS NULL OR u.x = x0 THEN y0
+                       ELSE y0 + (u.y - y0) * (l.score - x0) / (u.x - x0) END AS score
+           FROM lower_ l ASOF LEFT JOIN iso u ON l.model = u.model AND l.score <= u.x)
+"""
+
+
+@query("platt", MAPS + "SELECT customerID, model, y_true, round(score, 6) AS score FROM by_platt")
 def q_platt(spark, sf_dir):
-    """Platt scaling fitted on val per model, applied to test."""
-    val, test = scores_long(spark, sf_dir, "val"), scores_long(spark, sf_dir, "test")
-    names = D.model_names(val)
-    out = None
-    for n in names:
-        a, b = CA.fit_platt(val.filter(F.col("model") == n))
-        part = CA.apply_platt(test.filter(F.col("model") == n), a, b)
-        out = part if out is None else out.unionByName(part)
+    """Platt scaling fitted on val for every model, applied to test."""
+    groups = CA.score_groups(scores_long(spark, sf_dir, "val")).checkpoint()
+    out = CA.apply_platt_maps(scores_long(spark, sf_dir, "test"), CA.platt_maps(groups))
     return out.select("customerID", "model", "y_true", F.round("score", 6).alias("score"))
 
 
-@query("isotonic")
+@query("isotonic", MAPS + "SELECT customerID, model, y_true, round(score, 6) AS score FROM by_iso")
 def q_isotonic(spark, sf_dir):
-    """Isotonic calibration fitted on val per model, applied to test."""
-    val, test = scores_long(spark, sf_dir, "val"), scores_long(spark, sf_dir, "test")
-    names = D.model_names(val)
-    out = None
-    for n in names:
-        iso = CA.fit_isotonic(val.filter(F.col("model") == n))
-        part = CA.apply_isotonic(test.filter(F.col("model") == n), iso)
-        out = part if out is None else out.unionByName(part)
+    """Isotonic calibration fitted on val for every model, applied to test."""
+    groups = CA.score_groups(scores_long(spark, sf_dir, "val"))
+    out = CA.apply_isotonic_maps(scores_long(spark, sf_dir, "test"), CA.isotonic_maps(groups))
     return out.select("customerID", "model", "y_true", F.round("score", 6).alias("score"))
 
 
-@query("calibration_summary")
+@query("calibration_summary", EDGES + MAPS + """
+, v AS (SELECT model, 'original' AS variant, y_true, score FROM t
+        UNION ALL SELECT model, 'platt', y_true, score FROM by_platt
+        UNION ALL SELECT model, 'isotonic', y_true, score FROM by_iso),
+bn AS (SELECT model, variant, score, y_true, (SELECT min(b) FROM ed WHERE ed.b >= 1 AND v.score <= ed.e) AS bin
+       FROM v WHERE v.score > 0
+       UNION ALL SELECT model, variant, score, y_true, NULL FROM v WHERE score <= 0),
+per AS (SELECT model, variant, bin, count(*) AS n, avg(score) AS conf, avg(y_true) AS acc FROM bn GROUP BY model, variant, bin),
+al AS (SELECT model, variant, sum(n) AS a FROM per GROUP BY model, variant),
+e AS (SELECT model, variant, round(coalesce(sum(CASE WHEN bin IS NOT NULL THEN n / a * abs(acc - conf) END), 0.0), 6) AS ece
+      FROM per JOIN al USING (model, variant) GROUP BY model, variant),
+br AS (SELECT model, variant, round(avg((score - y_true) * (score - y_true)), 6) AS brier FROM v GROUP BY model, variant)
+SELECT model, variant, ece, brier FROM e JOIN br USING (model, variant)
+""")
 def q_calibration_summary(spark, sf_dir):
     """ECE and Brier per model x variant (original, platt, isotonic)."""
     val, test = scores_long(spark, sf_dir, "val"), scores_long(spark, sf_dir, "test")
-    names = D.model_names(val)
-    allv = CA.calibrate_by_model(val, test, names)
+    allv = CA.calibrate_by_model(val, test).checkpoint()  # two metrics read it
     return CA.ece(allv, group=("model", "variant")).join(CA.brier(allv, group=("model", "variant")),
                                                          ["model", "variant"])
