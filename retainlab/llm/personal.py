@@ -306,7 +306,11 @@ def op6_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.transform(ordered, lambda s: F.concat_ws(":", F.element_at(kinds, (s[1] + 1).cast("int")), s[0], s[2])), ","
         )
 
-    counts = [F.size(F.filter("base", lambda s, k=k: s[1] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    def count_of(k: int):
+        # a second parameter of the lambda, default or not, would be the index in the array
+        return F.size(F.filter("base", lambda s: s[1] == k)).cast("long")
+
+    counts = [count_of(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return found.select(
         "doc_id",
         *counts,

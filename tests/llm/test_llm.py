@@ -446,3 +446,18 @@ def test_short_and_unspaced_lines(spark, tmp_path):
     groups_table(spark, tmp_path, texts)
     got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in lines.op3_lines(spark, str(tmp_path)).collect()}
     assert got == {0: (0, texts[0]), 1: (2, ""), 2: (0, texts[2]), 3: (0, texts[3])}
+
+
+def test_personal_counts_by_kind(spark, tmp_path):
+    texts = [
+        "a@b.co c@d.org 1.2.3.4 +1 234 567 890 a@b.co", "4111 1111 1111 1111 and 10.0.0.1", "+49 30 1234567 x@y.zz", "", None, "none", "9.9.9.9 8.8.8.8 7.7.7.7",
+    ]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in personal.op6_personal(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        spans = personal.base_spans(t or "")
+        assert [got[i][f"n_{kind}"] for kind in personal.KINDS] == [sum(s[1] == k for s in spans) for k in range(4)]
+        assert got[i]["base_sha256"] == hashlib.sha256(personal.written(spans).encode()).hexdigest()
+    assert [got[0][f"n_{kind}"] for kind in personal.KINDS] == [3, 1, 0, 1]
+    assert [got[6][f"n_{kind}"] for kind in personal.KINDS] == [0, 3, 0, 0]
