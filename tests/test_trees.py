@@ -242,3 +242,22 @@ def test_top_contributions(spark):
     df = spark.createDataFrame([(1, [0.5, -2.0, 0.0, 2.0])], "k long, contributions array<double>")
     got = A.top_contributions(df, "k", ["a", "b", "c", "d"], 3).collect()
     assert [(r["rank"], r["feature"], r["direction"]) for r in got] == [(1, "b", "decreases churn"), (2, "d", "increases churn"), (3, "a", "increases churn")]
+
+
+def test_the_driver_gets_one_array_of_many_blocks(spark, monkeypatch):
+    from pyspark import RDD
+
+    arrays, plain = [], RDD.collect
+
+    def counted(self):
+        got = plain(self)
+        arrays.append(len(got))
+        return got
+
+    parts = spark.sparkContext.parallelize(range(12), 6)
+    monkeypatch.setattr(RDD, "collect", counted)
+    for slices, most in ((1, 1), (3, 3)):
+        total = H.summed(parts, lambda i: np.full((5, 2), float(i)), slices)
+        assert (total == np.full((5, 2), 66.0)).all()
+        assert arrays.pop() <= most
+    assert H.summed(spark.sparkContext.parallelize([], 3), lambda i: np.zeros(1)) is None
