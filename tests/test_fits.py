@@ -40,3 +40,32 @@ def test_adaboost_scores_over_many_trees(spark):
     df = spark.createDataFrame(rows, ["k", "features", "label", "weight"]).repartition(1).cache()
     got = MD.adaboost(df, df, rounds=22, max_depth=1)
     assert got.columns == [*df.columns, "score"] and got.filter(F.col("score").between(0, 1)).count() == 60
+
+
+def test_fits_run_in_as_many_tasks_as_rows_need(spark, monkeypatch, tmp_path):
+    from retainlab.operators import models as MD
+    from retainlab.plans import q_models as QM
+
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(1000, numPartitions=10 * cores)
+    assert MD.few_tasks(df, 1000).rdd.getNumPartitions() == 2 * cores
+    assert MD.few_tasks(df, 1000).count() == 1000
+    few = spark.range(1000, numPartitions=2 * cores)
+    assert MD.few_tasks(few, 1000) is few
+    monkeypatch.setattr(MD, "TASK_ROWS", 10)
+    assert MD.few_tasks(df, 30 * cores).rdd.getNumPartitions() == 3 * cores
+    monkeypatch.undo()
+
+    prepared = spark.range(600).select(
+        F.col("id").alias("k"), F.col("id").cast("string").alias("customerID"), F.when(F.col("id") % 7 < 5, "train").otherwise("test").alias("split"),
+        (F.col("id") % 3 == 0).cast("int").alias("y_true"), (F.col("id") % 11).cast("double").alias("x"),
+    ).repartition(10 * cores, "k")
+    from pyspark.ml.feature import VectorAssembler
+
+    vectors = VectorAssembler(inputCols=["x"], outputCol="features").transform(prepared)
+    monkeypatch.setattr(QM, "prepared_vectors", lambda *_: (vectors, type("Prepared", (), {"names": ["x"]})))
+    v, train, n, _ = QM._data(spark, str(tmp_path))
+    assert v.rdd.getNumPartitions() > 2 * cores >= train.rdd.getNumPartitions()
+    assert train.count() == n == vectors.filter("split = 'train'").count()
+    v.unpersist()
+    train.unpersist()
