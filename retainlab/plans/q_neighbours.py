@@ -65,9 +65,9 @@ def _vec(spark, sf_dir):
     return v.filter(F.col("role") == "query"), v.filter(F.col("role") == "reference"), v
 
 
-def _competence(spark, sf_dir):
+def _competence(spark, sf_dir, nb=None):
     q, r, v = _vec(spark, sf_dir)
-    nb = N.knn_join(q, r, K_DES)
+    nb = N.knn_join(q, r, K_DES) if nb is None else nb
     vs = vector_scores(v)
     comp = N.local_competence(nb, vs.filter(F.col("role") == "reference"), K_DES)
     return comp, vs.filter(F.col("role") == "query"), q
@@ -165,10 +165,10 @@ md AS (SELECT ju.qid, list_reduce(list(vs.score ORDER BY ju.model), lambda a, b:
 """
 
 
-def _meta_des(spark, sf_dir):
+def _meta_des(spark, sf_dir, nb=None):
     """META-DES over the pool: meta features of every reference row on which the
     pool disagrees (neighbours without the row itself) train the selector, those
-    of the query rows choose models."""
+    of the query rows choose models. ``nb``: the query rows' neighbours, if at hand."""
     q, r, v = _vec(spark, sf_dir)
     vs = vector_scores(v)
     rs, qs = vs.filter(F.col("role") == "reference"), vs.filter(F.col("role") == "query")
@@ -176,7 +176,8 @@ def _meta_des(spark, sf_dir):
     train = N.meta_features(N.knn_join(r, r, K_DES, exclude_self=True),
                             N.knn_join(rp, rp, K_PROFILE, vec="profile", exclude_self=True), rs, rs)
     selector = N.fit_selector(train.join(N.disagreed(rs), "qid", "left_semi"))
-    return N.meta_des(selector, N.meta_features(N.knn_join(q, r, K_DES), N.knn_join(qp, rp, K_PROFILE, vec="profile"), rs, qs))
+    nb = N.knn_join(q, r, K_DES) if nb is None else nb
+    return N.meta_des(selector, N.meta_features(nb, N.knn_join(qp, rp, K_PROFILE, vec="profile"), rs, qs))
 
 
 @query("des_summary", KE_SQL + KU_SQL + "," + MD_CTES + """
@@ -185,11 +186,13 @@ kuy AS (SELECT ku.score, q.y_true FROM ku JOIN q ON q.vec_id = ku.qid),
 mdy AS (SELECT md.score, q.y_true FROM md JOIN q ON q.vec_id = md.qid)
 """ + " UNION ALL ".join(_summary_sql(*n) for n in (("ke", "knora_e"), ("ku", "knora_u"), ("md", "meta_des"))))
 def q_des_summary(spark, sf_dir):
-    comp, qs, q = _competence(spark, sf_dir)
+    q, r, _ = _vec(spark, sf_dir)
+    nb = N.knn_join(q, r, K_DES).checkpoint()  # k rows a query, which all three methods read
+    comp, qs, _ = _competence(spark, sf_dir, nb)
     labels = q.select(F.col("vec_id").alias("qid"), "y_true")
-    found = {"knora_e": N.knora_e(comp, qs), "knora_u": N.knora_u(comp, qs), "meta_des": _meta_des(spark, sf_dir)}
+    found = {"knora_e": N.knora_e(comp, qs), "knora_u": N.knora_u(comp, qs), "meta_des": _meta_des(spark, sf_dir, nb)}
     s = reduce(DataFrame.unionByName, [p.select("qid", "score").withColumn("model", F.lit(n)) for n, p in found.items()])
-    s = s.join(labels, "qid")
+    s = s.join(labels, "qid").checkpoint()  # a row per query and method: both kinds of metrics read it
     m = E.with_metrics(E.confusion(s), ("f1", "recall", "precision", "accuracy")).drop("tp", "fp", "fn", "tn")
     return m.join(E.roc_auc(s), "model").withColumnRenamed("model", "method")
 

@@ -141,3 +141,19 @@ def test_pair_counts_of_many_models(spark):
     for (a, b), counts in got.items():
         pairs = [(right[k, a], right[k, b]) for k in y]
         assert counts == tuple(pairs.count(p) for p in ((True, True), (True, False), (False, True), (False, False)))
+
+
+def test_des_summary_joins_the_query_rows_with_their_neighbours_once(spark, monkeypatch):
+    from retainlab.plans import q_neighbours as Q
+
+    from .conftest import SMALL
+
+    joins, join = [], Q.N.knn_join
+
+    def counted(queries, refs, k, **more):
+        joins.append((k, more.get("vec", "embedding"), more.get("exclude_self", False)))
+        return join(queries, refs, k, **more)
+
+    monkeypatch.setattr(Q.N, "knn_join", counted)
+    assert Q.q_des_summary(spark, SMALL).count() == 3
+    assert len(joins) == len(set(joins)) == 4
