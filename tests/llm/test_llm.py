@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -461,3 +462,31 @@ def test_personal_counts_by_kind(spark, tmp_path):
         assert got[i]["base_sha256"] == hashlib.sha256(personal.written(spans).encode()).hexdigest()
     assert [got[0][f"n_{kind}"] for kind in personal.KINDS] == [3, 1, 0, 1]
     assert [got[6][f"n_{kind}"] for kind in personal.KINDS] == [0, 3, 0, 0]
+
+
+def test_a_written_stage_keeps_no_shuffle_files(spark):
+    from retainlab.llm.common import write_stage
+
+    def files():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (blocks.apply(i).getName() for i in range(blocks.size())) if n.startswith("shuffle_")}
+
+    before = files()
+    made = write_stage(spark, spark.range(2000).selectExpr("id % 1000 as k").repartition(3, "k").groupBy("k").count(), "kept")
+    for _ in range(50):  # files go in the background
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before and made.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_pairs_of_a_list_are_those_that_may_share_no_earlier_shingle(spark):
+    from retainlab.llm import jaccard
+
+    rows = [(t, s, 100, at, [0] * 4, s) for t, at in ((1, 2), (2, 8)) for s in (10, 20)]
+    lists = spark.createDataFrame(rows, "token long, set long, size int, at int, toggles array<long>, label long")
+    met = [tuple(r) for r in jaccard.other_pairs(lists, 90).collect()]
+    assert met == [(10, 20)]
+    # 92 of 100 shingles are left from place 8: too few, if nothing is shared before
+    assert jaccard.other_pairs(lists.filter("token = 2"), 90).count() == 0
