@@ -9,11 +9,12 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from retainlab.llm import decontaminate, html_blocks, jaccard, language, lines, packing, personal, phrases, quality, rans
+from retainlab.llm import decontaminate, html_blocks, jaccard, language, lines, packing, personal, phrases, postings, quality, rans
 from retainlab.llm.groups import components
 from retainlab.llm.tokens import Encoder, encoder
 
@@ -490,3 +491,22 @@ def test_pairs_of_a_list_are_those_that_may_share_no_earlier_shingle(spark):
     assert met == [(10, 20)]
     # 92 of 100 shingles are left from place 8: too few, if nothing is shared before
     assert jaccard.other_pairs(lists.filter("token = 2"), 90).count() == 0
+
+
+def test_packed_entries(spark):
+    """Parts come back as they were sent; only lists of more than one group
+    are passed on, all lists of a part that is too long."""
+    rng = np.random.default_rng(3)
+    token = np.sort(rng.integers(0, 1 << 48, 500).astype(np.uint64))
+    columns = token, *(rng.integers(-(1 << 62), 1 << 62, 500) for _ in range(4))
+    for sent, got in zip(columns, postings.unpacked(500, postings.packed(*columns), 5), strict=True):
+        assert (sent == got).all()
+
+    def lists(*rows):
+        token, node, spot, label = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+        batches = list(postings.pack(iter([(token.view(np.uint64), node, spot, label)]), 5))
+        return sorted(map(tuple, postings.shared_lists(spark.createDataFrame(pa.Table.from_batches(batches))).collect()))
+
+    far = 1 << 47
+    rows = [(5, 1, 10, 1), (far, 2, 11, 2), (5, 2, 12, 2), (7, 1, 13, 1), (9, 3, 14, 3), (9, 4, 15, 3), (far, 9, 16, 2)]
+    assert lists(*rows) == [(5, 1, 10, False), (5, 2, 12, False)]
