@@ -510,3 +510,44 @@ def test_packed_entries(spark):
     far = 1 << 47
     rows = [(5, 1, 10, 1), (far, 2, 11, 2), (5, 2, 12, 2), (7, 1, 13, 1), (9, 3, 14, 3), (9, 4, 15, 3), (far, 9, 16, 2)]
     assert lists(*rows) == [(5, 1, 10, False), (5, 2, 12, False)]
+
+
+def test_too_long_parts_are_passed_on(spark, monkeypatch):
+    monkeypatch.setattr(lines, "shared_lists", lambda made: postings.shared_lists(made).withColumn("long", F.col("node") >= 0))
+    rnd = random.Random(4)
+    base = [prose(rnd, 14) for _ in range(30)]
+    texts = base + [" ".join(w if i != 5 else "other" for i, w in enumerate(t.split(" "))) for t in base[:12]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {tuple(r) for r in lines.repeated_lines(spark, docs).select("doc_id", "line").collect()}
+    monkeypatch.undo()
+    assert got == {tuple(r) for r in lines.repeated_lines(spark, docs).select("doc_id", "line").collect()} and len(got) >= 12
+
+
+@pytest.mark.parametrize("percent", [80, 100])
+def test_pairs_of_packed_lists_are_those_of_the_joins(spark, percent):
+    rng = np.random.default_rng(5)
+    rows = []
+    for token in range(60):
+        for node in rng.permutation(40)[: rng.integers(1, 12)].tolist():
+            rows.append((token * (1 << 41), node, int(rng.integers(0, 4)) << 32 | (20 + node % 5), node % 6, -(1 << 63) + node, (node % 3) << 62 if node % 3 < 2 else -1))
+    names = "token long, node long, spot long, label long, x long, y long"
+    given = spark.createDataFrame(rows, names)
+    nodes = given.select("node", "label", F.array("x", "y").alias("bits")).distinct()
+    joined = lines.entry_lists(given.select("token", "node", "spot"), nodes)
+    for met, found in ((lines.met_pivots, lines.pivot_pairs), (lines.met_others, lines.other_pairs)):
+        got = postings.list_pairs(given, 6, lambda e, met=met: met(e, 2, percent))
+        want = {tuple(r) for r in found(joined, 2, percent).collect()}
+        assert {tuple(r) for r in got.collect()} == want and (want or percent == 100)
+    e = tuple(np.array(c, np.int64) for c in zip(*sorted(rows), strict=True))
+    few = {p for a, b in lines.met_others(e, 2, percent, together=1) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    assert few == want  # of the last of the loop
+
+
+def test_verified_lines_are_those_of_pairs_only(spark, tmp_path, monkeypatch):
+    """Lines of no pair do not meet the pairs."""
+    seen = []
+    monkeypatch.setattr(lines, "write_stage", lambda spark, df, name: seen.append(df) or df)
+    many = spark.range(50).select(F.col("id").alias("node"), F.lit(b"a b c d e f").alias("words"))
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert [tuple(r) for r in lines.verified(spark, many, pairs, 80).collect()] == [(1, 2)]
+    assert "LeftSemi" in seen[0]._jdf.queryExecution().optimizedPlan().toString()
