@@ -147,8 +147,8 @@ def id_counts(tokens: DataFrame, dtype: str) -> dict[int, int]:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for (ids,) in arrow_rows(batches, "ids"):
-            one = np.bincount(np.frombuffer(ids, dtype))
+        for b in batches:  # a batch at a time: a count is as long as the vocabulary
+            one = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), dtype))
             if len(one) > len(total):
                 total = np.pad(total, (0, len(one) - len(total)))
             total[: len(one)] += one

@@ -493,6 +493,24 @@ def test_pairs_of_a_list_are_those_that_may_share_no_earlier_shingle(spark):
     assert jaccard.other_pairs(lists.filter("token = 2"), 90).count() == 0
 
 
+def test_count_of_ids_takes_a_batch_at_a_time(spark, monkeypatch):
+    """One count, as long as the vocabulary, a batch and not a document."""
+    made = []
+    count = np.bincount
+    monkeypatch.setattr(rans.np, "bincount", lambda x, *a, **k: made.append(1) or count(x, *a, **k))
+    tokens = spark.createDataFrame([(i, np.array([i % 7, 60_000], "<u2").tobytes()) for i in range(40)], "doc_id long, ids binary")
+
+    class Rows:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return spark.createDataFrame(pa.Table.from_batches(list(run(tokens.toArrow().combine_chunks().to_batches()))))
+
+    assert rans.id_counts(Rows(), "<u2") == {**{i: 40 // 7 + (i < 40 % 7) for i in range(7)}, 60_000: 40}
+    assert len(made) == 1
+
+
 def test_packed_entries(spark):
     """Parts come back as they were sent; only lists of more than one group
     are passed on, all lists of a part that is too long."""
