@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from retainlab.llm import decontaminate, html_blocks, jaccard, language, lines, packing, personal, phrases, postings, quality, rans
+from retainlab.llm.common import apart
 from retainlab.llm.groups import components
 from retainlab.llm.tokens import Encoder, encoder
 
@@ -569,3 +570,40 @@ def test_verified_lines_are_those_of_pairs_only(spark, tmp_path, monkeypatch):
     pairs = spark.createDataFrame([(1, 2)], "a long, b long")
     assert [tuple(r) for r in lines.verified(spark, many, pairs, 80).collect()] == [(1, 2)]
     assert "LeftSemi" in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def changed(rnd, words, share):
+    return [f"new{rnd.randrange(10**6)}" if rnd.random() < share else w for w in words]
+
+
+def test_wide_toggles_of_large_sets():
+    """Sets that link differ in no more bits than the limit, folded or not."""
+    rnd = np.random.default_rng(3)
+    for n in (200, 256, 257, 500, 512, 513, 1020, 5000):
+        x = np.unique(rnd.integers(0, 1 << 64, n, np.uint64))
+        cut = n // 25
+        y = np.unique(np.concatenate([x[cut:], rnd.integers(0, 1 << 64, cut // 2, np.uint64)]))
+        unlike = np.unique(rnd.integers(0, 1 << 64, n, np.uint64))
+        both = len(np.intersect1d(x, y))
+        assert both * 100 >= 90 * (len(x) + len(y) - both)
+        a, b, c = map(jaccard.wide_toggles, (x, y, unlike))
+        assert (a is None) == (len(x) <= 256)
+        if a and b:
+            assert apart(a, b) <= len(x) + len(y) - 2 * both and apart(a, b) <= (len(x) + len(y)) * 10 // 190
+        if a and c:
+            assert apart(a, c) > (len(x) + len(unlike)) * 10 // 190
+
+
+def test_only_near_sets_are_read(spark, tmp_path, monkeypatch):
+    """Pairs of large sets are sifted by their wide bits before texts are joined."""
+    rnd = random.Random(2)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(words), " ".join(changed(rnd, words, 0.01)), " ".join(changed(rnd, words, 0.2))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    written = {}
+    write = jaccard.write_stage
+    monkeypatch.setattr(jaccard, "write_stage", lambda spark, df, name: written.setdefault(name, []).append(write(spark, df, name).cache()) or written[name][-1])
+    monkeypatch.setattr(jaccard, "remove_stage", lambda spark, df: None)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.link_groups(spark, docs, percent=90).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+    assert sum(t.count() for t in written["near"]) == 1
