@@ -576,6 +576,31 @@ def changed(rnd, words, share):
     return [f"new{rnd.randrange(10**6)}" if rnd.random() < share else w for w in words]
 
 
+def test_wide_bits_of_long_lines(spark):
+    """Alike lines of any length pass, most unlike ones that 128 bits let pass do not."""
+    rnd = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, pairs, linked = [], [], set()
+    for i, n in enumerate([5, 40, 64, 65, 120, 300, 900, 2500] * 4):
+        words = [rnd.choice(vocabulary) for _ in range(n)]
+        other = changed(rnd, words, 0.15) if i % 2 else [rnd.choice(vocabulary) for _ in range(n)]
+        rows += [(2 * i, " ".join(words).encode()), (2 * i + 1, " ".join(other[: max(5, n - n // 50)]).encode())]
+        pairs.append((2 * i, 2 * i + 1))
+        if lines.alike(rows[-2][1], rows[-1][1], 80):
+            linked.add(pairs[-1])
+    found = [r[1] for r in rows]
+    _, _, n, bits = lines.line_spans(found, 2)
+    wide = lines.wide_bits(found)
+    assert [w is None for w in wide] == [k <= 64 for k in n.tolist()]
+    assert all(len(w) * 8 >= 2 * k for w, k in zip(wide, n.tolist(), strict=True) if w)
+    table = [(i, k, b, bytearray(w) if w else None) for (i, _), k, b, w in zip(rows, n.tolist(), bits.tolist(), wide, strict=True)]
+    table = spark.createDataFrame(table, "node long, n int, bits array<long>, wide binary")
+    got = {tuple(r) for r in lines.possible(table, spark.createDataFrame(pairs, "a long, b long"), 80).collect()}
+    assert linked <= got and len(linked) > 10
+    unlike = [p for p in pairs if n[p[0]] >= 120 and p[0] % 4 == 0]
+    assert unlike and not got & set(unlike)
+
+
 def test_wide_toggles_of_large_sets():
     """Sets that link differ in no more bits than the limit, folded or not."""
     rnd = np.random.default_rng(3)
