@@ -182,6 +182,45 @@ def test_random_thresholds_lie_inside_the_node(spark):
     assert (again.score(x) == forest.score(x)).all()
 
 
+def test_random_trees_see_all_rows(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    n = 20_500
+    df = spark.range(n).select(
+        F.col("id").alias("k"), array_to_vector(F.array(F.col("id").cast("double"), (F.col("id") % 7).cast("double"))).alias("features"),
+        (F.col("id") % 3 == 0).cast("double").alias("label"), F.lit(1.0).alias("weight"),
+    )
+    forest = R.fit_extra_trees(df, F.col("weight"), trees=2, max_depth=1)
+    assert [t.cover[0] for t in forest.trees] == [n, n]
+
+
+def test_random_trees_stay_in_the_tasks(spark, monkeypatch):
+    from pyspark import RDD
+
+    x, y, w = table(300)
+    df = frame(spark, x, y, w).repartition(5)
+    forest = R.fit_extra_trees(df, F.col("weight"), trees=11)
+    twice = df.withColumn("k", F.when(F.col("k") < 100, F.col("k") % 50).when(F.col("k") < 290, F.col("k")))  # equal and null keys
+    with monkeypatch.context() as m:
+        m.setattr(RDD, "collect", lambda _: pytest.fail("trees on the driver"))
+        scored = R.score_forest(twice, forest)
+    got = scored.collect()
+    assert scored.columns == [*df.columns, "score"] and len(got) == 300
+    want = forest.score(np.stack([r["features"].toArray() for r in got]))
+    assert np.allclose([r["score"] for r in got], want, atol=1e-12)
+    none = R.score_forest(df, R.fit_extra_trees(df.limit(0), F.col("weight"), trees=3)).collect()
+    assert len(none) == 300 and {r["score"] for r in none} == {0.0}
+    assert R.score_forest(df.limit(0), forest).count() == 0
+
+
+def test_random_trees_a_few_rows_at_a_time(monkeypatch):
+    x, y, w = table(300)
+    whole = [R.grow(x, y, w, 2, [1, i]) for i in range(3)]
+    monkeypatch.setattr(R, "STEP_ROWS", 16)
+    for a, b in zip(whole, (R.grow(x, y, w, 2, [1, i]) for i in range(3))):
+        assert (a.left == b.left).all() and (a.threshold == b.threshold).all() and np.allclose(a.value, b.value, atol=1e-12)
+
+
 def test_random_split_is_the_best_of_its_draws():
     x, y, w = table()
     rng = np.random.default_rng(3)
