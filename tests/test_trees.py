@@ -143,6 +143,62 @@ def test_rows_on_several_blocks_give_the_same_trees(spark, monkeypatch):
     assert all(len(u) <= 3 for u in used) and len(set().union(*used)) > 3
 
 
+def test_rows_in_several_tasks_give_the_same_trees(spark, monkeypatch):
+    x, y, w = table(300)
+    s = B.Settings(rounds=12, rate=0.2, max_leaves=7, min_rows=5, l2=0.1, rows=0.7, columns=0.6)
+    df = frame(spark, x, y, w).repartition(5)
+    one, ada = B.fit_boosted(df, s, F.col("weight")), B.fit_adaboost(df, F.col("weight"), rounds=8, max_depth=2)
+    monkeypatch.setattr(H, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(H, "TASK_ROWS", 64)
+    monkeypatch.setattr(B, "CHECKPOINTS", 1)
+    made, plain = [], B.Spread.__init__
+    monkeypatch.setattr(B.Spread, "__init__", lambda self, *a: (made.append(1), plain(self, *a))[1])
+    many, spread = B.fit_boosted(df, s, F.col("weight")), B.fit_adaboost(df, F.col("weight"), rounds=8, max_depth=2)
+    assert len(made) == 2 and len(one.trees) == len(many.trees) == 12
+    assert np.allclose(one.margin(x), many.margin(x), atol=1e-9)
+    assert np.allclose(ada.says, spread.says) and np.allclose(ada.score(x), spread.score(x))
+
+
+def test_more_rows_than_a_block_stay_in_one_task(spark, monkeypatch):
+    x, y, w = table(300)
+    monkeypatch.setattr(H, "BLOCK_ROWS", 64)
+    df = frame(spark, x, y, w).repartition(5)
+    bins = H.Bins(H.feature_cuts(df))
+    blocks = H.training_blocks(df, bins, F.col("weight"))
+    assert blocks.getNumPartitions() == 1 and [len(b.y) for b in blocks.collect()] == [300]
+    blocks.unpersist()
+
+
+def test_a_block_in_pieces_gives_the_same_trees(monkeypatch):
+    x, y, w = table(300)
+    bins = H.Bins([np.unique(c)[:-1] for c in x.T])
+    s = B.Settings(rounds=6, rate=0.3, max_leaves=9, min_rows=2, rows=0.8, bootstrap=True)
+
+    def margin():
+        data = B.Together(H.Block(bins.of(x), y, w, np.arange(300, dtype=np.uint64), np.zeros(300)), 0.1, B.logistic)
+        for i in range(s.rounds):
+            data.add(B.Added(B.grow(data, bins, s, i)))
+        return np.concatenate([p.block.margin for p in data.pieces])
+
+    one = margin()
+    monkeypatch.setattr(B, "BLOCK_ROWS", 64)
+    assert np.allclose(margin(), one, atol=1e-9)
+
+
+def test_histograms_of_packed_features():
+    rng = np.random.default_rng(5)
+    sizes = [2, 1, 5, 2, 2, 256, 2, 2, 2, 1, 2, 2, 2, 3]  # more than eight narrow features, some with one value
+    bins = H.Bins([np.arange(n - 1, dtype=float) for n in sizes])
+    x = np.stack([rng.integers(0, n, 500) for n in sizes], axis=1).astype(np.uint8)
+    slot, g = rng.integers(0, 3, 500), rng.normal(size=500)
+    got = H.histograms(H.packed_columns(x, bins), slot, (g, None), 3, bins)
+    for i in range(3):
+        for f, n in enumerate(sizes):
+            for b in range(n):
+                rows = (slot == i) & (x[:, f] == b)
+                assert np.allclose(got[i, bins.starts[f] + b], [g[rows].sum(), rows.sum()], atol=1e-9)
+
+
 def test_one_class_and_no_rows(spark):
     x, y, w = table(20)
     s = B.Settings(rounds=2, rate=0.1, max_depth=2)
