@@ -9,7 +9,8 @@ proportion z_j. The value of j is
 
 e_s the coefficient of t^s in the product of (z_k + o_k t) over the other d - 1
 features. A leaf's values depend on a row only by its d bits o, so they are
-computed once per bit pattern that occurs in a batch and gathered.
+computed once per bit pattern, all of a short path's or those that occur in a
+batch, and gathered.
 """
 
 from __future__ import annotations
@@ -81,22 +82,41 @@ def expected(tree: Tree) -> float:
     return float((tree.value[leaf] * tree.cover[leaf]).sum() / whole) if whole else float(tree.value[0])
 
 
-def shapley(all_paths: Sequence[Path], x: np.ndarray) -> np.ndarray:
-    """(row, feature): summed values of all leaves."""
-    phi = np.zeros(x.shape)
-    for p in all_paths:
-        if not len(p.features):
+#: Features of a path up to which the values of all bit patterns are kept.
+TABLE_BITS = 8
+
+
+def tabled(path: Path) -> np.ndarray:
+    """(feature, code): the values of all bit patterns; the code has bit j for feature j."""
+    d = len(path.features)
+    ones = (np.arange(1 << d)[:, None] >> np.arange(d)) & 1
+    return np.ascontiguousarray(pattern_values(path, ones.astype(np.float64)).T)
+
+
+def shapley(all_paths: Sequence[Path], x: np.ndarray, tables: dict[int, np.ndarray] | None = None) -> np.ndarray:
+    """(row, feature): summed values of all leaves. ``tables`` keeps the values
+    of patterns by path from one call to the next."""
+    tables = {} if tables is None else tables
+    columns = np.ascontiguousarray(x.T)
+    phi = np.zeros(columns.shape)
+    for i, p in enumerate(all_paths):
+        d = len(p.features)
+        if not d:
             continue
-        v = x[:, p.features]
-        ones = (v > p.above) & (v <= p.upto)
-        code = ones @ (1 << np.arange(len(p.features), dtype=np.int64)) if len(p.features) < 62 else None
-        if code is None:
+        if d > TABLE_BITS:
+            v = columns[p.features].T
+            ones = (v > p.above) & (v <= p.upto)
             patterns, at = np.unique(ones, axis=0, return_inverse=True)
-        else:
-            _, first, at = np.unique(code, return_index=True, return_inverse=True)
-            patterns = ones[first]
-        phi[:, p.features] += pattern_values(p, patterns.astype(np.float64))[at]
-    return phi
+            phi[p.features] += pattern_values(p, patterns.astype(np.float64))[at.ravel()].T
+            continue
+        if i not in tables:
+            tables[i] = tabled(p)
+        code = np.zeros(len(x), dtype=np.intp)
+        for j, f in enumerate(p.features):
+            code += ((columns[f] > p.above[j]) & (columns[f] <= p.upto[j])) * (1 << j)
+        for row, f in zip(tables[i], p.features):
+            phi[f] += row.take(code)
+    return phi.T
 
 
 def attributions(df: DataFrame, trees: Sequence[Tree], key: str, base: float = 0.0, vec: str = "features", rate: float = 1.0) -> DataFrame:
@@ -108,11 +128,12 @@ def attributions(df: DataFrame, trees: Sequence[Tree], key: str, base: float = 0
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, np.ndarray] = {}
         for b in batches:
             if not b.num_rows:
                 continue
             x = pc.list_flatten(b.column("x")).to_numpy().reshape(b.num_rows, -1)
-            phi = rate * shapley(leaves, x)
+            phi = rate * shapley(leaves, x, tables)
             ends = pa.array(np.arange(0, phi.size + 1, phi.shape[1], dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
                 [b.column(key), pa.array(np.full(len(x), start)), pa.ListArray.from_arrays(ends, pa.array(phi.ravel()))], names=[key, "base", "contributions"]

@@ -181,17 +181,20 @@ def test_a_block_in_pieces_gives_the_same_trees(monkeypatch):
         return np.concatenate([p.block.margin for p in data.pieces])
 
     one = margin()
+    monkeypatch.setattr(H, "PACK_ROWS", 0)
     monkeypatch.setattr(B, "BLOCK_ROWS", 64)
     assert np.allclose(margin(), one, atol=1e-9)
 
 
-def test_histograms_of_packed_features():
+@pytest.mark.parametrize("least", [0, 1000])
+def test_histograms_of_packed_features(monkeypatch, least):
+    monkeypatch.setattr(H, "PACK_ROWS", least)
     rng = np.random.default_rng(5)
     sizes = [2, 1, 5, 2, 2, 256, 2, 2, 2, 1, 2, 2, 2, 3]  # more than eight narrow features, some with one value
     bins = H.Bins([np.arange(n - 1, dtype=float) for n in sizes])
     x = np.stack([rng.integers(0, n, 500) for n in sizes], axis=1).astype(np.uint8)
     slot, g = rng.integers(0, 3, 500), rng.normal(size=500)
-    got = H.histograms(H.packed_columns(x, bins), slot, (g, None), 3, bins)
+    got = H.histograms(*H.packed_columns(x, bins), slot, (g, None), 3, bins)
     for i in range(3):
         for f, n in enumerate(sizes):
             for b in range(n):
