@@ -202,6 +202,28 @@ def test_histograms_of_packed_features(monkeypatch, least):
                 assert np.allclose(got[i, bins.starts[f] + b], [g[rows].sum(), rows.sum()], atol=1e-9)
 
 
+def test_residual_trees_are_those_of_mllib(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+
+    from retainlab.operators import models as MD
+
+    x, y, w = table(400)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([x, rng.normal(size=(400, 2))], axis=1)  # more values than bins
+    df = frame(spark, x, y, w).repartition(3).cache()
+    presets = {"boosting_depth5": {"maxIter": 25, "stepSize": 0.2, "maxDepth": 5}}
+    est = MD.make_estimator("boosting_depth5", 400, presets=presets)
+    want = {r["k"]: r["score"] for r in MD.prob1(est.fit(df).transform(df)).collect()}
+    monkeypatch.setattr(GBTClassifier, "fit", lambda *_: pytest.fail("a job a level"))
+    got = {r["k"]: r["score"] for r in MD.fit_score("boosting_depth5", df, df, 400, x.shape[1], presets).collect()}
+    assert np.allclose([got[i] for i in range(400)], [want[i] for i in range(400)], atol=1e-6)
+    monkeypatch.setattr(H, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(H, "TASK_ROWS", 64)  # several tasks, cuts from quantiles
+    many = B.fit_residual_trees(df, 25, 0.2, 5, F.col("weight")).score(x)
+    assert ((many > 0.5) == (y > 0.5)).mean() > 0.95
+    assert B.fit_residual_trees(df.limit(0), 2, 0.2, 5, F.col("weight")).trees == []
+
+
 def test_one_class_and_no_rows(spark):
     x, y, w = table(20)
     s = B.Settings(rounds=2, rate=0.1, max_depth=2)
