@@ -69,3 +69,37 @@ def test_fits_run_in_as_many_tasks_as_rows_need(spark, monkeypatch, tmp_path):
     assert train.count() == n == vectors.filter("split = 'train'").count()
     v.unpersist()
     train.unpersist()
+
+
+def test_large_forests_are_fitted_some_trees_at_a_time(spark, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.linalg import Vectors
+
+    from retainlab.operators import models as MD
+
+    rows = [(i % 50, Vectors.dense([i % 7, i % 5, i % 3]), float((i * i + i % 3) % 2), 1.0) for i in range(90)]
+    df = spark.createDataFrame(rows, ["k", "features", "label", "weight"]).repartition(2).cache()  # equal keys
+    presets = {"forest_nobootstrap": {"numTrees": 7, "maxDepth": 30}}
+    fitted, plain = [], RandomForestClassifier.fit
+
+    def fit(self, data):
+        model = plain(self, data)
+        fitted.append((self.getNumTrees(), self.getSeed(), MD.prob1(model.transform(df)).select("k", "features", "score").collect()))
+        return model
+
+    monkeypatch.setattr(RandomForestClassifier, "fit", fit)
+    monkeypatch.setattr(MD, "FOREST_NODES", 3 * 180)
+    got = MD.fit_score("forest_nobootstrap", df, df, 90, 3, presets)
+    assert got.columns == [*df.columns, "score"]
+    assert [f[:2] for f in fitted] == [(3, 42), (3, 43), (1, 44)]
+    seen = {(r["k"], r["features"]): r["score"] for r in got.collect()}
+    assert got.count() == 90
+    votes = {}
+    for n, _, scored in fitted:
+        for key, score in {(r["k"], r["features"]): r["score"] for r in scored}.items():
+            votes[key] = votes.get(key, 0.0) + n * score
+    assert seen == pytest.approx({k: v / 7 for k, v in votes.items()}, abs=1e-9)
+    fitted.clear()
+    monkeypatch.setattr(MD, "FOREST_NODES", 7 * 180)
+    MD.fit_score("forest_nobootstrap", df, df, 90, 3, presets)
+    assert [f[:2] for f in fitted] == [(7, 42)]
